@@ -166,7 +166,7 @@ def _lists(rows: DataFrame, keys: list[str], forest: bool, num: int, den: int) -
 
         cls = pdf["cls"].to_numpy()
         n, pos, side = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "side"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), CLASSES).astype(np.int32)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), CLASSES).astype(np.int32)
         comp = pdf["comp"].to_numpy()
         a, b = [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
@@ -252,8 +252,8 @@ def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[in
                 some = np.minimum(counts, _prefix_length(counts, num, den)) * (counts > 0)
                 chosen = values[order][place < some[owner]]
                 sig = np.bincount(owner * CLASSES + (mix(values) % U(CLASSES)).astype(np.int64), minlength=len(texts) * CLASSES)
-                sig = np.minimum(sig, 65535).astype("<u2").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(values, counts), pa.binary()), pa.array(counts, pa.int64()), lists(chosen, some), pa.array([sig[2 * CLASSES * i : 2 * CLASSES * (i + 1)] for i in range(len(texts))], pa.binary())], ["cls", "n", "prefix", "sig"])
+                sig = np.minimum(sig, 255).astype(np.uint8).tobytes()  # cut off sums still bound the overlap from above
+                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(values, counts), pa.binary()), pa.array(counts, pa.int64()), lists(chosen, some), pa.array([sig[CLASSES * i : CLASSES * (i + 1)] for i in range(len(texts))], pa.binary())], ["cls", "n", "prefix", "sig"])
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
     heads = saved(known.mapInArrow(prefixes, "cls binary, n long, prefix array<long>, sig binary").where("cls is not null").dropDuplicates(["cls"]))
@@ -261,20 +261,22 @@ def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[in
     from pyspark.sql import Window
 
     tokens = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
-    listed = saved(tokens.join(heads.select("cls", "sig"), "cls").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls", "token"), F.col("chunks")).cast("int")))
+    listed = saved(tokens.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls", "token"), F.col("chunks")).cast("int")))
+    signatures = heads.select("cls", "sig")  # joined last, so that they are dealt out once
 
     one = listed.withColumns({"side": F.lit(0), "comp": F.lit(None).cast("binary")})
-    tried = saved(_lists(one, ["token", "chunk"], True, num, den))
+    tried = saved(_lists(one.join(signatures, "cls"), ["token", "chunk"], True, num, den))
     links = saved(_verified(docs, tried, shingle, num, den, id_col, text_col))
     comps = connected(links)
 
-    named = listed.join(comps, listed["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+    # a list of two was compared in full by the first round
+    named = listed.where("size > 2").join(comps, listed["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
     open_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     named = named.join(open_lists, "token", "left_semi")
     # each row goes to every pair of chunks that has its own: with one chunk, to that alone
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("ci"), F.greatest(c, F.col("chunk")).alias("cj")))
     spread = named.withColumn("to", F.explode(pairs)).select("*", "to.ci", "to.cj").drop("to").withColumn("side", (F.col("chunk") != F.col("ci")).cast("int"))
-    more = _lists(spread, ["token", "ci", "cj"], False, num, den).join(tried, ["a", "b"], "left_anti")
+    more = _lists(spread.join(signatures, "cls"), ["token", "ci", "cj"], False, num, den).join(tried, ["a", "b"], "left_anti")
     more = saved(more)
     if more.limit(1).count():
         more_links = saved(_verified(docs, more, shingle, num, den, id_col, text_col))
