@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, bit_at, blocks_of, gathered_bits, lists, merged_bits, slices
-from .hashing import BASES, U, Words, distinct, mix, sliding_min
+from .common import BLOCKS, bit_at, blocks_of, gathered_bits, longs, merged_bits, slices
+from .hashing import BASES, U, Words, distinct, mix, runs, sliding_min
 
 LINES = 2
 MOST_BITS = 28
@@ -39,8 +39,6 @@ def _anchors(words: Words, window: int, anchor: int):
     at = np.arange(max(0, n - window + 1))
     if not len(at):
         return np.zeros(0, np.uint64), at
-    from .hashing import runs
-
     sub = np.arange(n - anchor + 1)
     least = sliding_min(runs(words.hash, sub, sub + anchor, BASES[2]), window - anchor + 1)
     keep = words.first[words.text[at] + 1] - at >= window
@@ -79,50 +77,54 @@ def build_sketch(docs: DataFrame, bits: int, window: int = 50, anchor: int = 26,
     return gathered_bits(merged_bits(parts, 2), LINES, bits)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, anchor: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, whole, at): the starts of windows that also start in a document with a smaller doc_id.
-    ``whole`` hashes the word sequence, so rows that share a doc_id stay apart."""
-    spark = docs.sparkSession
-    bits = sketch_bits(docs, text_col)
-    sketch = spark.sparkContext.broadcast(build_sketch(docs, bits, window, anchor, text_col))
+def _estimated(words: Words, bitmap: np.ndarray, bits: int, window: int, anchor: int) -> np.ndarray:
+    """The first words of the windows that the sketch estimates to be repeated."""
+    key, at = _anchors(words, window, anchor)
+    hit = np.ones(len(key), bool)
+    for line, cells in enumerate(_cells(key, bits)):
+        hit &= bit_at(bitmap[line], cells) == 1
+    return at[hit]
 
-    def estimated(batches):
+
+def _scan(docs: DataFrame, sketch, bits: int, window: int, anchor: int, windows: bool) -> DataFrame:
+    """The windows that may be repeated, (h1, h2, doc_id, whole, at); or the rows, (doc_id, text, whole, maybe)."""
+
+    def run(batches):
         bitmap = sketch.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            whole, maybe = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, bool)
             for start, texts in slices(batch, "text"):
                 words = Words(texts)
-                key, at = _anchors(words, window, anchor)
-                hit = np.ones(len(key), bool)
-                for line, cells in enumerate(_cells(key, bits)):
-                    hit &= bit_at(bitmap[line], cells) == 1
-                at = at[hit]
-                if not len(at):
-                    continue
-                from .hashing import runs
-
-                h1, h2 = (runs(words.hash, at, at + window, b) for b in BASES[:2])
+                at = _estimated(words, bitmap, bits, window, anchor)
                 text = words.text[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[start + text].astype(np.int64)), pa.array(words.whole(BASES[2])[text].view(np.int64)), pa.array((at - words.first[text]).astype(np.int32))],
-                    ["h1", "h2", "doc_id", "whole", "at"],
-                )
+                own = words.whole(BASES[2])
+                whole[start : start + len(texts)] = own
+                maybe[start + text] = True
+                if windows and len(at):
+                    h1, h2 = (runs(words.hash, at, at + window, b) for b in BASES[:2])
+                    yield pa.RecordBatch.from_arrays(
+                        [longs(h1), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[start + text].astype(np.int64)), longs(own[text]), pa.array((at - words.first[text]).astype(np.int32))],
+                        ["h1", "h2", "doc_id", "whole", "at"],
+                    )
+            if not windows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), longs(whole), pa.array(maybe)], ["doc_id", "text", "whole", "maybe"])
 
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(estimated, "h1 long, h2 int, doc_id long, whole long, at int")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "whole", "at")
+    return docs.mapInArrow(run, "h1 long, h2 int, doc_id long, whole long, at int" if windows else "doc_id long, text string, whole long, maybe boolean")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): each row of ``docs`` with the words that stay, joined by one space."""
-    cut = repeated_windows(docs, window, anchor, id_col, text_col).groupBy("doc_id", "whole").agg(F.collect_list("at").alias("cut"))
+    """(doc_id, n_words, n_removed, kept): each row of ``docs`` with the words that stay, joined by one space.
 
-    def whole(batches):
-        for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for start, texts in slices(batch, "text"):
-                out[start : start + len(texts)] = Words(texts).whole(BASES[2])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc_id", "text", "whole"])
+    ``whole`` hashes a row's word sequence, so rows that share a doc_id stay apart. Texts without a window that may be repeated are not shuffled."""
+    spark = docs.sparkSession
+    bits = sketch_bits(docs, text_col)
+    sketch = spark.sparkContext.broadcast(build_sketch(docs, bits, window, anchor, text_col))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _scan(plain.where("doc_id is not null"), sketch, bits, window, anchor, True)
+    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    later = found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "whole", "at")
+    cut = later.groupBy("doc_id", "whole").agg(F.collect_list("at").alias("cut"))
 
     def kept(batches):
         for batch in batches:
@@ -144,9 +146,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col:
                 text_out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text_out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(whole, "doc_id long, text string, whole long")
-    joined = rows.join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut")
-    return joined.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
+    rows = _scan(plain, sketch, bits, window, anchor, False)
+    joined = rows.where("maybe").join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut")
+    alone = rows.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("cut"))
+    return joined.union(alone).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def sha256_hex(text: str) -> str:
