@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,27 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import saved, shared_dir  # noqa: F401
+
 #: Cells of one bitmap block; a block is 8 KB.
 BLOCK_BITS = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); only where it is unset, as in tests, a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(spark.sparkContext, "_wayfold_dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.sparkContext._wayfold_dir = path
-    return path.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfold/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import bit_at, blocks_of, BLOCKS, gathered_bits, lists, longs, merged_bits, saved, slices
 from .hashing import BASES, U, Words, distinct, mix, runs
 
@@ -180,26 +181,6 @@ def _lists(rows: DataFrame, keys: list[str], forest: bool, num: int, den: int) -
     return rows.mapInPandas(walk, "a binary, b binary").distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of ``edges`` (a, b): the least node it is connected with.
-
-    Rounds of large-star and small-star (Kiveris et al., 2014), each written as a table."""
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u")
-        edges = saved(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == state or not now["n"]:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets are similar enough. Sets are made anew from the texts of the classes in question:
     a bitmap of fixed size finds these while scanning, the join makes it exact."""
