@@ -5,7 +5,7 @@
    table that counts all shingles of all documents; any common order gives all links, a true-to-frequency one gives short lists.
    Only the prefix of ``n - ceil(t * n) + 1`` shingles is joined: two linked sets share one of them.
 3. The classes that share a prefix shingle are compared under the length filter, the positional filter and the suffix
-   filter (sums over 64 hash classes of shingles bound the overlap from above). Lists are cut into chunks, so a hot shingle is many groups.
+   filter (each set has 512 bits, the parities of its hash classes; sets that differ in d shingles differ in d bits at most). Lists are cut into chunks, so a hot shingle is many groups.
    First round: in each chunk a spanning forest of the pairs that pass is kept, not all pairs; each is verified once against
    the whole sets. Second round: of lists whose classes are not all in one component yet, all passing pairs across components
    (of all chunk pairs) are verified. So every link either is verified or lies inside a component that verified links span.
@@ -28,7 +28,7 @@ from .common import bit_at, blocks_of, BLOCKS, gathered_bits, lists, longs, merg
 from .hashing import BASES, U, Words, distinct, mix, runs
 
 FREQUENCY_BITS = 19
-CLASSES = 64
+PARITIES = 512
 CHUNK = 2048
 CANDIDATE_BITS = 27
 
@@ -109,7 +109,7 @@ def _candidates(rows: list, forest: bool, num: int, den: int) -> list[tuple[int,
         ok = (np.minimum(n[i], n[others]) * den >= np.maximum(n[i], n[others]) * num) & (1 + np.minimum(n[i] - pos[i], n[others] - pos[others]) - 1 >= need)
         others, need = others[ok], need[ok]
         if len(others):
-            far = np.abs(sig[i] - sig[others]).sum(1)
+            far = np.bitwise_count(sig[i] ^ sig[others]).sum(1, dtype=np.int64)
             others = others[(n[i] + n[others] - far) // 2 >= need]
         return others
 
@@ -167,7 +167,7 @@ def _lists(rows: DataFrame, keys: list[str], forest: bool, num: int, den: int) -
 
         cls = pdf["cls"].to_numpy()
         n, pos, side = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "side"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), CLASSES).astype(np.int32)
+        sig = np.frombuffer(b"".join(pdf["sig"]), "<u8").reshape(len(pdf), PARITIES // 64)
         comp = pdf["comp"].to_numpy()
         a, b = [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
@@ -232,9 +232,9 @@ def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[in
                 place = np.arange(len(values)) - first[owner]
                 some = np.minimum(counts, _prefix_length(counts, num, den)) * (counts > 0)
                 chosen = values[order][place < some[owner]]
-                sig = np.bincount(owner * CLASSES + (mix(values) % U(CLASSES)).astype(np.int64), minlength=len(texts) * CLASSES)
-                sig = np.minimum(sig, 255).astype(np.uint8).tobytes()  # cut off sums still bound the overlap from above
-                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(values, counts), pa.binary()), pa.array(counts, pa.int64()), lists(chosen, some), pa.array([sig[CLASSES * i : CLASSES * (i + 1)] for i in range(len(texts))], pa.binary())], ["cls", "n", "prefix", "sig"])
+                odd = np.bincount(owner * PARITIES + (mix(values) % U(PARITIES)).astype(np.int64), minlength=len(texts) * PARITIES) & 1
+                sig = np.packbits(odd.astype(np.uint8)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(values, counts), pa.binary()), pa.array(counts, pa.int64()), lists(chosen, some), pa.array([sig[PARITIES // 8 * i : PARITIES // 8 * (i + 1)] for i in range(len(texts))], pa.binary())], ["cls", "n", "prefix", "sig"])
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
     heads = saved(known.mapInArrow(prefixes, "cls binary, n long, prefix array<long>, sig binary").where("cls is not null").dropDuplicates(["cls"]))
