@@ -206,7 +206,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, id_
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, w in zip(keys, keep) if w], pa.binary()), lists(values[np.repeat(keep, counts)], counts[keep])], ["cls", "shingles"])
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(sets, "cls binary, shingles array<long>")
-    found = saved(found.join(nodes, "cls", "left_semi").dropDuplicates(["cls"]))
+    found = found.join(nodes, "cls", "left_semi").dropDuplicates(["cls"])  # dealt out once: both joins read that shuffle
     both = pairs.join(found.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     return both.where(shared * (num + den) >= (F.size("x") + F.size("y")) * F.lit(num)).select("a", "b")
