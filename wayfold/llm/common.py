@@ -14,8 +14,19 @@ from ..tables import saved, shared_dir  # noqa: F401
 #: Cells of one bitmap block; a block is 8 KB.
 BLOCK_BITS = 16
 
+#: Bytes of one Arrow batch on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session does already: by rows alone, long texts make batches of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

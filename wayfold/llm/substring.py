@@ -31,6 +31,10 @@ from .hashing import BASES, U, Words, distinct, mix, runs, sliding_min
 
 LINES = 2
 MOST_BITS = 28
+#: Bytes of text that are hashed at once, and anchors that a task holds before it counts them.
+SLICE = 1 << 18
+KEYS = 1 << 20
+OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def _anchors(words: Words, window: int, anchor: int):
@@ -58,20 +62,28 @@ def sketch_bits(docs: DataFrame, text_col: str = "text") -> int:
 def build_sketch(docs: DataFrame, bits: int, window: int = 50, anchor: int = 26, text_col: str = "text") -> np.ndarray:
     """The merged sketch as bitmaps of the cells that count two documents or more."""
 
+    schema = pa.schema([("line", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
+
+    def counted(keys):
+        key = np.concatenate(keys)
+        for line, cells in enumerate(_cells(key, bits)):
+            cell, n = np.unique(cells, return_counts=True)
+            yield pa.RecordBatch.from_pylist(list(blocks_of(cell, n, line)), schema=schema)
+
     def partial(batches):
+        keys, held = [], 0
         for batch in batches:
-            keys = []
-            for _, texts in slices(batch, "text"):
+            for _, texts in slices(batch, "text", SLICE):
                 words = Words(texts)
                 key, at = _anchors(words, window, anchor)
                 key, _ = distinct(words.text[at], key, len(texts))
                 keys.append(key)
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            rows = []
-            for line, cells in enumerate(_cells(key, bits)):
-                cell, n = np.unique(cells, return_counts=True)
-                rows += blocks_of(cell, n, line)
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("line", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary())]))
+                held += len(key)
+                if held >= KEYS:
+                    yield from counted(keys)
+                    keys, held = [], 0
+        if held:
+            yield from counted(keys)
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(partial, BLOCKS)
     return gathered_bits(merged_bits(parts, 2), LINES, bits)
@@ -86,31 +98,34 @@ def _estimated(words: Words, bitmap: np.ndarray, bits: int, window: int, anchor:
     return at[hit]
 
 
-def _scan(docs: DataFrame, sketch, bits: int, window: int, anchor: int, windows: bool) -> DataFrame:
-    """The windows that may be repeated, (h1, h2, doc_id, whole, at); or the rows, (doc_id, text, whole, maybe)."""
+def _scan(docs: DataFrame, sketch, bits: int, window: int, anchor: int, want: str) -> DataFrame:
+    """want: "windows", those that may be repeated, (h1, h2, doc_id, whole, at); "maybe", the rows that have such windows,
+    (doc_id, text, whole); "alone", the results of the others, (doc_id, n_words, n_removed, kept)."""
 
     def run(batches):
         bitmap = sketch.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            whole, maybe = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, bool)
-            for start, texts in slices(batch, "text"):
+            ids = batch.column(0)
+            for start, texts in slices(batch, "text", SLICE):
                 words = Words(texts)
                 at = _estimated(words, bitmap, bits, window, anchor)
                 text = words.text[at]
-                own = words.whole(BASES[2])
-                whole[start : start + len(texts)] = own
-                maybe[start + text] = True
-                if windows and len(at):
+                if want == "alone":
+                    rest = np.setdiff1d(np.arange(len(texts)), text)
+                    kept = pa.array([b" ".join(texts[i].split()).decode() for i in rest], pa.string())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + rest)), pa.array(words.counts[rest], pa.int64()), pa.array(np.zeros(len(rest), np.int64)), kept], ["doc_id", "n_words", "n_removed", "kept"])
+                elif len(at) and want == "maybe":
+                    some = np.unique(text)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + some)), pa.array([texts[i].decode() for i in some], pa.string()), longs(words.whole(BASES[2])[some])], ["doc_id", "text", "whole"])
+                elif len(at):
                     h1, h2 = (runs(words.hash, at, at + window, b) for b in BASES[:2])
                     yield pa.RecordBatch.from_arrays(
-                        [longs(h1), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[start + text].astype(np.int64)), longs(own[text]), pa.array((at - words.first[text]).astype(np.int32))],
+                        [longs(h1), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(start + text)), longs(words.whole(BASES[2])[text]), pa.array((at - words.first[text]).astype(np.int32))],
                         ["h1", "h2", "doc_id", "whole", "at"],
                     )
-            if not windows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), longs(whole), pa.array(maybe)], ["doc_id", "text", "whole", "maybe"])
 
-    return docs.mapInArrow(run, "h1 long, h2 int, doc_id long, whole long, at int" if windows else "doc_id long, text string, whole long, maybe boolean")
+    schemas = {"windows": "h1 long, h2 int, doc_id long, whole long, at int", "maybe": "doc_id long, text string, whole long", "alone": OUT}
+    return docs.mapInArrow(run, schemas[want])
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +136,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col:
     bits = sketch_bits(docs, text_col)
     sketch = spark.sparkContext.broadcast(build_sketch(docs, bits, window, anchor, text_col))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = _scan(plain.where("doc_id is not null"), sketch, bits, window, anchor, True)
+    found = _scan(plain.where("doc_id is not null"), sketch, bits, window, anchor, "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "whole", "at")
     cut = later.groupBy("doc_id", "whole").agg(F.collect_list("at").alias("cut"))
@@ -146,10 +161,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col:
                 text_out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text_out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = _scan(plain, sketch, bits, window, anchor, False)
-    joined = rows.where("maybe").join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut")
-    alone = rows.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("cut"))
-    return joined.union(alone).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
+    maybe = _scan(plain, sketch, bits, window, anchor, "maybe")
+    joined = maybe.join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut").mapInArrow(kept, OUT)
+    return joined.union(_scan(plain, sketch, bits, window, anchor, "alone"))
 
 
 def sha256_hex(text: str) -> str:
