@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go, and documents of which nothing but blanks is left."""
-    out = line_dedup(docs, min_lines=2)
+    """Later copies of runs of two lines or 50 words go, and documents of which nothing but blanks is left."""
+    out = line_dedup(docs, min_lines=2, min_words=50)
     gone = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(~gone).withColumn("n_chars", changed).select(COLUMNS)

@@ -64,3 +64,42 @@ def test_maximal_runs(spark):
     rows = [(1, "a\nb\nc\nx1"), (2, "y\na\nb\nc"), (3, "b\nc\nz\nq1\nq2"), (4, "q1\nq2")]
     got = sorted((r["doc_id"], r["pos"], r["length"]) for r in maximal_runs(documents(spark, rows), 2).collect())
     assert got == [(1, 0, 3), (2, 1, 3), (3, 0, 2), (3, 3, 2), (4, 0, 2)]
+
+
+def brute_words(rows, m, least):
+    """Like ``brute``, for runs of ``m`` lines or of ``least`` words."""
+    seqs = {(d, t): [x for x in t.split("\n") if x.strip(" ")] for d, t in rows}
+    places = {}
+    for (d, t), s in seqs.items():
+        for n in range(1, m + 1):
+            for i in range(len(s) - n + 1):
+                w = tuple(s[i : i + n])
+                if n == m or sum(len(x.split()) for x in w) >= least:
+                    places.setdefault(w, []).append((d, i, t))
+    gone = {key: set() for key in seqs}
+    for w, found in places.items():
+        for d, i, t in sorted(found)[1:]:
+            gone[(d, t)].update(range(i, i + len(w)))
+    return sorted((d, "\n".join(x for k, x in enumerate(seqs[(d, t)]) if k not in gone[(d, t)])) for d, t in rows)
+
+
+@pytest.mark.parametrize("m", [2, 3, 4])
+def test_long_lines_as_brute_force(spark, m):
+    rnd = random.Random(m)
+    pool = [" ".join(f"w{i}" for _ in range(rnd.choice([1, 3, 4, 6, 7, 12]))) for i in range(25)]
+    rows = []
+    for i in range(60):
+        rows.append((i * 7 % 61, "\n".join(rnd.choice(pool) if rnd.random() < 0.5 else f"own {rnd.random()}" for _ in range(rnd.randint(1, 8)))))
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup(documents(spark, rows), m, min_words=7).collect())
+    assert got == brute_words(rows, m, 7)
+    assert got != brute(rows, m)
+
+
+def test_pipeline_deletes_long_single_lines(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}"), (3, long)]
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, documents(spark, rows), "").collect())
+    kept = f"c\nd\n{short}"
+    assert [x[:2] for x in got] == [rows[0], (2, kept)] and got[1][2] == len(kept)

@@ -6,6 +6,8 @@ the pair (rank of its first h lines, rank of the suffix h lines further on). Pai
 
 Suffixes with ``min_lines`` equal first lines are neighbours in the array: an interval of longest common prefixes of ``min_lines`` or more. Of each interval the first
 suffix in (doc_id, line) order stays, and the ``min_lines`` lines at every other one are deleted; together these are all later copies of maximal repeated runs.
+With ``min_words``, a run of fewer than ``min_lines`` lines counts too if it has at least so many words (what stands between white space; a line in a script
+without spaces has few): later copies of its lines are deleted in the same way, length by length. Without it, shorter runs stay, however long their lines.
 ``maximal_runs`` gives the runs themselves, from the common prefixes of neighbours in the whole array.
 
 Blank lines go with the line before them. Cases: a null text stays null and has no lines; empty texts stay; of repeated rows (equal doc_id and text) none is earlier, so they
@@ -23,17 +25,19 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import saved
 
 KEY = ["_doc", "_tie"]
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_tie")]
 
 
-def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_doc, _tie, pos, a, b): the lines that are not blank; a and b are 128 bits of the line."""
+def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """(_doc, _tie, pos, a, b): the lines that are not blank; a and b are 128 bits of the line. With ``min_words`` also ``words``, how many the line has."""
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x) != "")
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*_keyed(docs, id_col, text_col), F.posexplode(lines).alias("pos", "line"))
-    return rows.select(*KEY, "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("#"), "line").alias("b")).distinct()
+    words = [] if min_words is None else [F.regexp_count("line", F.lit(WORD)).alias("words")]
+    return rows.select(*KEY, "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("#"), "line").alias("b"), *words).distinct()
 
 
 def numbered(keys: DataFrame, *cols: str) -> DataFrame:
@@ -42,11 +46,11 @@ def numbered(keys: DataFrame, *cols: str) -> DataFrame:
     return saved(keys.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("r", F.monotonically_increasing_id()))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_doc, _tie, pos, rem, r): lines that occur twice or more, how many such lines follow at once (itself included), and the line's ID."""
-    rows = saved(line_rows(docs, id_col, text_col))
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """(_doc, _tie, pos, rem, r, and words with ``min_words``): lines that occur twice or more, how many such lines follow at once (itself included), and the line's ID."""
+    rows = saved(line_rows(docs, id_col, text_col, min_words))
     ids = numbered(rows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "a", "b")
-    rows = rows.join(ids, ["a", "b"]).select(*KEY, "pos", "r")
+    rows = rows.join(ids, ["a", "b"]).drop("a", "b")
     by = Window.partitionBy(*KEY)
     rows = rows.withColumn("_run", F.col("pos") - F.row_number().over(by.orderBy("pos")))
     return saved(rows.withColumn("rem", (F.max("pos").over(Window.partitionBy(*KEY, "_run")) - F.col("pos") + 1).cast("int")).drop("_run"))
@@ -73,19 +77,31 @@ def suffix_ranks(lines: DataFrame, least: int | None = None) -> list[DataFrame]:
     return levels
 
 
-def later_copies(lines: DataFrame, min_lines: int) -> DataFrame:
-    """(_doc, _tie, pos): suffixes whose first ``min_lines`` lines also start at an earlier place."""
+def later_copies(lines: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
+    """(_doc, _tie, pos, n): the ``n`` lines at ``pos`` also start at an earlier place; n is ``min_lines``, or less where they have ``min_words`` words."""
     levels = suffix_ranks(lines, min_lines)
-    half = 1 << (min_lines.bit_length() - 1)  # the longest ranked prefix within min_lines; two of them overlap to cover it
-    top = levels[min(len(levels) - 1, min_lines.bit_length() - 1)]
-    rows = top.where(F.col("rem") >= min_lines)
-    if half < min_lines:
-        rows = _ahead(top, rows, min_lines - half, "r2")
-    else:
-        rows = rows.withColumn("r2", F.lit(-1))
     place = F.struct(*KEY, "pos")
-    first = rows.groupBy("r", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("r").alias("p"), F.col("r2").alias("q"), "first")
-    return rows.join(first, (F.col("r") == F.col("p")) & (F.col("r2") == F.col("q"))).where(place != F.col("first")).select(*KEY, "pos")
+
+    def copies(n: int) -> DataFrame:
+        half = 1 << (n.bit_length() - 1)  # the longest ranked prefix within n lines; two of them overlap to cover it
+        top = levels[min(len(levels) - 1, n.bit_length() - 1)]
+        rows = top.where(F.col("rem") >= n)
+        if n < min_lines:
+            ahead = Window.partitionBy(*KEY).orderBy(F.col("pos").cast("long")).rangeBetween(0, n - 1)
+            enough = lines.withColumn("words", F.sum("words").over(ahead)) if n > 1 else lines
+            enough = enough.where((F.col("rem") >= n) & (F.col("words") >= min_words))
+            rows = rows.join(enough.select(*KEY, "pos"), [*KEY, "pos"], "left_semi") if n > 1 else enough
+        if half < n:
+            rows = _ahead(top, rows, n - half, "r2")
+        else:
+            rows = rows.withColumn("r2", F.lit(-1))
+        first = rows.groupBy("r", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("r").alias("p"), F.col("r2").alias("q"), "first")
+        return rows.join(first, (F.col("r") == F.col("p")) & (F.col("r2") == F.col("q"))).where(place != F.col("first")).select(*KEY, "pos", F.lit(n).alias("n"))
+
+    out = copies(min_lines)
+    for n in range(1, min_lines if min_words is not None else 1):
+        out = out.union(copies(n))
+    return out
 
 
 def maximal_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,10 +137,10 @@ def maximal_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", te
     return longest.withColumn("_inner", F.coalesce(inner, F.lit(False))).where("not _inner").select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "pos", "length")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text_col``, and the columns ``n_lines`` and ``n_removed``
-    (of lines that are not blank)."""
-    cuts = later_copies(repeated_lines(docs, id_col, text_col), min_lines).groupBy(*KEY).agg(F.collect_list("pos").alias("_cut"))
+    (of lines that are not blank). A run has ``min_lines`` lines, or ``min_words`` words, or more."""
+    cuts = later_copies(repeated_lines(docs, id_col, text_col, min_words), min_lines, min_words).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n")).alias("_cut"))
     names = docs.columns
     keyed = docs.select("*", *_keyed(docs, id_col, text_col))
     joined = keyed.join(cuts, KEY, "left").select(*names, "_cut")
@@ -142,9 +158,10 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text
                     texts.append(text)
                     removed.append(0)
                     continue
+                first, n = (np.asarray([x[c] for x in starts]) for c in ("pos", "n"))
                 edge = np.zeros(len(full) + 1, np.int64)
-                np.add.at(edge, np.asarray(starts), 1)
-                np.add.at(edge, np.asarray(starts) + min_lines, -1)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + n, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 kept, drop, k = [], False, 0
