@@ -56,6 +56,17 @@ def test_models_tell_strings_apart(spark):
     assert ones > 0.95 and zeros < 0.05
 
 
+def test_every_long_run_is_scored(spark):
+    words = "the quick brown foxes were internationally renowned for jumping over lazy dogs and characteristic misunderstandings "
+    secret = ["qXvTbLwRkZmNcYhPdJgFsWaE", "QXZVJKWPTGHBQLMCXRDF", "qzxvjkwptghbqlmcxrdfwpzk"]
+    plain = ["internationallyrenowned", "INTERNATIONALLY_RENOWNED", "jumping_over_lazy_dogs", "4689387053447877", "4111-1111-1111-1111", "2021-02-28/2021-03-01", "-" * 30, "=" * 30, "_" * 30, "+-------+-------+"]
+    rows = [(i, words * 3) for i in range(50)] + [(100 + i, f"see {x} here") for i, x in enumerate(secret + plain)]
+    got = {r["doc_id"]: r["s"] for r in find_secrets(documents(spark, rows)).select("doc_id", span_string(F.col("spans")).alias("s")).collect()}
+    assert [got[100 + i] for i in range(len(secret))] == [f"markov:4:{4 + len(x)}" for x in secret]
+    assert not any(got[100 + i] for i in range(len(secret), len(secret + plain)))
+    assert not any(got[i] for i in range(50))
+
+
 def pii_rows():
     return [
         (1, "card 4111 1111 1111 1111, 4111-1111-1111-1111 and 4111111111111111, not 4111111111111112."),

@@ -5,13 +5,14 @@ spans of kind ``markov``: runs of 16 or more characters of ``[A-Za-z0-9+/_=-]``
 model of random strings exceeds that under a model of ordinary identifiers by ``margin`` nats a character pair or more, and which overlap no base span.
 
 Both models are bigram tables over a fixed alphabet of 67 symbols (so their size is bound), trained by one aggregation over labelled samples:
-random strings made from digests in the usual encodings (label 1), and identifiers (label 0): words and numbers of a bounded sample of documents
-(``sample`` rows, by a hash of doc_id) outside base spans, also joined as identifiers are (long runs that mix letters and digits have no sure label and are left out).
+random strings made from digests in the usual encodings and of letters alone (label 1), and identifiers (label 0): words of a bounded sample of documents
+(``sample`` rows, by a hash of doc_id) outside base spans, also joined as identifiers are (long runs that mix letters and digits have no sure label and are left out),
+numbers, digits in groups, dates, rulers and a short list of words. Every run of 16 or more is scored, whatever its characters: no class of strings is ruled out before the models.
 
 Positions come from ``split`` and ``regexp_extract_all`` with the same pattern: a match starts where the gaps and matches before it end.
 
 Cases: a null text is empty and has no spans; repeated rows are each reported; a null doc_id stays null; other columns are not looked at;
-without documents the identifier model is uniform; an empty table gives an empty result.
+without documents the identifier model knows the listed words, numbers and rulers alone; a long run of one letter may score as random where the sample has none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,15 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # as long runs of [0-9a-f]+: a shorter run holds no match
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
+#: Words of every corpus, so that the identifier model of a small one isn't empty.
+ORDINARY = (
+    "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will "
+    "no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also "
+    "international characteristic responsibility understanding configuration authentication implementation organisation communication environment government development experience "
+    "information application connection maximum minimum default number string value object element exception abstract factory http server response request "
+    "service manager transaction database session password user account message handler builder context property reference operation performance quality jumping lazy quick brown foxes "
+    "between through against without because children question important different business example possible probably following including something together although however"
+)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
@@ -60,17 +70,26 @@ def training_samples(docs: DataFrame, sample: int = 2_000, strings: int = 4_000,
     digest = F.sha2(F.col("id").cast("string"), 256)
     half = F.md5(F.concat(F.lit("x"), F.col("id").cast("string")))
     base64 = F.base64(F.unhex(F.substring(digest, 1, 48)))
-    made = F.array(base64, F.translate(base64, "+/=", "-_"), F.upper(F.regexp_replace(base64, "[+/=]", "")), F.substring(digest, 1, 40), half, F.upper(half))
+    letters = F.regexp_replace(F.base64(F.unhex(F.concat(digest, half))), "[^A-Za-z]", "")
+    made = F.array(base64, F.translate(base64, "+/=", "-_"), F.upper(F.regexp_replace(base64, "[+/=]", "")), F.substring(digest, 1, 40), half, F.upper(half), letters, F.lower(letters), F.upper(letters))
     random = spark.range(strings).select(F.explode(made).alias("sample"), F.lit(1).alias("label"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), text.alias("text")).orderBy("h", "i").limit(sample)
     plain = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", " ")
     words = F.filter(F.split(plain, r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= 2) & ~((F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")))
     few = F.slice(F.array_distinct(words), 1, 24)
-    joined = F.array(*[F.array_join(few, sign) for sign in "_-/"], F.array_join(F.transform(few, lambda w: F.initcap(w)), ""))
+    joined = F.array(*[F.array_join(few, sign) for sign in "_-/"], F.array_join(F.transform(few, lambda w: F.initcap(w)), ""), F.upper(F.array_join(few, "_")))
     ordinary = some.select(F.explode(F.concat(words, joined)).alias("sample"), F.lit(0).alias("label"))
-    numbers = spark.range(strings).select((F.abs(F.xxhash64("id")) % 10_000_000_000_000_000).cast("string").alias("sample"), F.lit(0).alias("label"))
-    return random.union(ordinary).union(numbers)
+    number = F.lpad((F.abs(F.xxhash64("id")) % 10_000_000_000_000_000).cast("string"), 16, "0")
+    groups = [F.regexp_replace(number, "^(....)(....)(....)(....)$", f"$1{sign}$2{sign}$3{sign}$4") for sign in "-/_"]
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 20_000).cast("int")).cast("string")
+    numbers = spark.range(strings).select(F.explode(F.array((F.abs(F.xxhash64("id")) % 10_000_000_000_000_000).cast("string"), *groups, F.concat_ws("/", day, day), F.concat_ws("_", day, day))).alias("sample"), F.lit(0).alias("label"))
+    rulers = F.array(*[F.lit(x * 32) for x in "+/_=-"], *[F.lit(f"{a}{b * 7}" * 4) for a in "+=_-/" for b in "+=_-/" if a != b])
+    rulers = spark.range(strings // 20).select(F.explode(rulers).alias("sample"), F.lit(0).alias("label"))
+    known = F.split(F.lit(ORDINARY), " ")
+    known = F.array(F.array_join(known, "_"), F.array_join(known, "-"), F.upper(F.array_join(known, "_")), F.array_join(F.transform(known, lambda w: F.initcap(w)), ""))
+    known = spark.range(strings // 100).select(F.explode(known).alias("sample"), F.lit(0).alias("label"))
+    return random.union(ordinary).union(numbers).union(rulers).union(known)
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -102,8 +121,7 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, margin: floa
     table = F.lit(model if model is not None else train(training_samples(docs, id_col=id_col, text_col=text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.concat(*base_spans(F.col("text"))).alias("base"))
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    more = spans(F.col("text"), RUN, 3, lambda m: F.when(mixed(m), ratio(m, table) >= margin).otherwise(F.lit(False)))
+    more = spans(F.col("text"), RUN, 3, lambda m: ratio(m, table) >= margin)
     free = F.filter(more, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)
     return rows.select("doc_id", F.array_sort(F.concat("base", free), order).alias("spans"))
