@@ -4,8 +4,8 @@
 2. Shingles are ordered by rising frequency (then by hash). The frequency of a shingle is that of its cell in a
    table that counts all shingles of all documents; any common order gives all links, a true-to-frequency one gives short lists.
    Only the prefix of ``n - ceil(t * n) + 1`` shingles is joined: two linked sets share one of them.
-3. The classes that share a prefix shingle are compared under the length filter, the positional filter and the suffix
-   filter (each set has 512 bits, the parities of its hash classes; sets that differ in d shingles differ in d bits at most). Lists are cut into chunks, so a hot shingle is many groups.
+3. The classes that share a prefix shingle are compared under the length filter, the positional filter and, instead of
+   the suffix filter, one on parity signatures (each set has 512 bits, the parities of its hash classes; sets that differ in d shingles differ in d bits at most). Lists are cut into chunks, so a hot shingle is many groups.
    First round: in each chunk a spanning forest of the pairs that pass is kept, not all pairs; each is verified once against
    the whole sets. Second round: of lists whose classes are not all in one component yet, all passing pairs across components
    (of all chunk pairs) are verified. So every link either is verified or lies inside a component that verified links span.
