@@ -1,9 +1,12 @@
 """N-gram Jaccard join: all links between documents whose word-shingle sets are similar enough, and their components.
 
 1. Equal sets are one class, so copies never meet each other; a class is known by 128 bits of its sorted set.
-2. Shingles are ordered by rising frequency (then by hash). The frequency of a shingle is that of its cell in a
-   table that counts all shingles of all documents; any common order gives all links, a true-to-frequency one gives short lists.
-   Only the prefix of ``n - ceil(t * n) + 1`` shingles is joined: two linked sets share one of them.
+2. Shingles are ordered, the rarest first. The order starts with a quarter of all shingles, chosen by hash, whose frequencies
+   (of classes) are counted truly: postings are packed by blocks of shingles, dealt once, counted, and sent back packed by blocks of classes.
+   The other shingles follow, and those of cells of a fixed table that more than a two-hundredth of all documents fall into (so no block holds more of one shingle).
+   Any common order gives all links, a true-to-frequency one gives short lists.
+   Only the prefix of ``n - ceil(t * n) + 1`` shingles is joined: two linked sets share one of them. Prefix shingles of one class alone are
+   dropped before anything is dealt by shingle, and with them most classes.
 3. The classes that share a prefix shingle are compared under the length filter, the positional filter and, instead of
    the suffix filter, one on parity signatures (each set has 512 bits, the parities of its hash classes; sets that differ in d shingles differ in d bits at most). Lists are cut into chunks, so a hot shingle is many groups.
    First round: in each chunk a spanning forest of the pairs that pass is kept, not all pairs; each is verified once against
@@ -31,6 +34,14 @@ FREQUENCY_BITS = 19
 PARITIES = 512
 CHUNK = 2048
 CANDIDATE_BITS = 27
+#: One shingle in so many is counted truly.
+SAMPLE = 4
+#: Postings of a block of shingles and classes of a group, as powers of two; shingles that a task holds before it packs them.
+POSTINGS_BITS = 20
+CLASSES_BITS = 14
+FLUSH = 1 << 21
+#: So many documents may share a shingle in any case; beyond, only a two-hundredth of all may, or its frequency is not counted.
+HOT = 100_000
 
 
 def shingle_sets(texts: list[bytes], k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -59,25 +70,35 @@ def _overlap(n, num: int, den: int):
     return -(-n * num // (num + den))
 
 
+def _first_half(keys: list[bytes | None]) -> np.ndarray:
+    return np.frombuffer(b"".join((x or b"\0" * 8)[:8] for x in keys), ">u8").astype(np.uint64)
+
+
 def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, n, cls), and a task's counts of shingle cells (block, counts)."""
+    """Rows of two kinds: a document's (doc_id, n, cls, ref: half of cls, sig, h: a hash of the text), and a task's counts of shingle cells (block, counts)."""
 
     def scan(batches):
         table = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("ref", pa.int64()), ("sig", pa.binary()), ("h", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for start, texts in slices(batch, "text"):
                 values, counts = shingle_sets(texts, k)
                 table += np.bincount((values >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(table))
                 m = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, m), pa.array(counts, pa.int64()), pa.array(_class_keys(values, counts), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=kinds)
+                keys = _class_keys(values, counts)
+                owner = np.repeat(np.arange(m), counts)
+                odd = np.bincount(owner * PARITIES + (mix(values) % U(PARITIES)).astype(np.int64), minlength=m * PARITIES) & 1
+                sig = np.packbits(odd.astype(np.uint8)).tobytes()
+                sig = pa.array([sig[PARITIES // 8 * i : PARITIES // 8 * (i + 1)] for i in range(m)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, m), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), longs(_first_half(keys)), sig, batch.column(2).slice(start, m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=kinds)
         step = 1 << 13
         used = [i for i in range(len(table) // step) if table[i * step : (i + 1) * step].any()]
         m = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()), pa.array([table[i * step : (i + 1) * step].astype("<u4").tobytes() for i in used], pa.binary())], schema=kinds)
+        cells = pa.array([table[i * step : (i + 1) * step].astype("<u4").tobytes() for i in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, f.type) for f in list(kinds)[:6]), pa.array(used, pa.int32()), cells], schema=kinds)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n long, cls binary, block int, counts binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    return rows.mapInArrow(scan, "doc_id long, n long, cls binary, ref long, sig binary, h long, block int, counts binary")
 
 
 def _frequencies(rows: DataFrame) -> np.ndarray:
@@ -96,6 +117,157 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _edges(sorted_keys: np.ndarray) -> np.ndarray:
+    """The first places of the runs of equal keys, and the end."""
+    if not len(sorted_keys):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+
+
+def _raw(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def prefix_lists(docs: DataFrame, frequency: np.ndarray, total: int, rows: int, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(ref, n, pos, token): of the classes that have any, the prefix shingles that other classes have too, with their places in the order.
+
+    frequency: the fixed table's counts; total, rows: shingles and documents of the corpus. Three packed forms are dealt, by blocks of
+    shingles (counted there), and then by groups of classes (ordered and cut there); extras, whose frequency is not counted, go to the second alone.
+    A shingle is known by its block and 32 bits; if two fall together, a pair more is compared, and places can only come out smaller, which loses nothing."""
+    spark = docs.sparkSession
+    blocks = max(1, total // SAMPLE >> POSTINGS_BITS)
+    groups = max(1, rows >> CLASSES_BITS)
+    often = spark.sparkContext.broadcast(np.packbits(frequency > max(HOT, rows // 200)))
+    order = spark.sparkContext.broadcast(frequency)
+
+    packed = pa.schema([("block", pa.int64()), ("refs", pa.binary()), ("sizes", pa.binary()), ("cnt", pa.binary()), ("low", pa.binary())])
+
+    def postings(batches):
+        seen, held, size = set(), [], 0
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                values, counts = shingle_sets(texts, k)
+                keys = _class_keys(values, counts)
+                new = np.zeros(len(texts), bool)
+                for i, key in enumerate(keys):
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        new[i] = True
+                values = values[np.repeat(new, counts)]
+                held.append((values, counts[new], _first_half(keys)[new]))
+                size += len(values)
+                if size >= FLUSH:
+                    yield flushed(held)
+                    seen, held, size = set(), [], 0
+        if size:
+            yield flushed(held)
+
+    def flushed(held):
+        values, n, ref = (np.concatenate([x[i] for x in held]) for i in range(3))
+        owner = np.repeat(np.arange(len(n)), n)
+        cell = values >> U(64 - FREQUENCY_BITS)
+        counted = (values % U(SAMPLE) == 0) & (bit_at(often.value, cell) == 0)
+        missing = np.maximum(0, np.minimum(n, _prefix_length(n, num, den)) - np.bincount(owner[counted], minlength=len(n)))
+        out = []
+        # by blocks; a stable sort keeps the documents' order inside one
+        key = values[counted] // U(SAMPLE)
+        block, who = (key % U(blocks)).astype(np.int64), owner[counted]
+        at = np.argsort(block, kind="stable")
+        block, who, low = block[at], who[at], ((key[at] // U(blocks)) & U(0xFFFFFFFF)).astype("<u4")
+        for a, b in zip((e := _edges(block))[:-1], e[1:]):
+            run = _edges(who[a:b])
+            some = who[a:b][run[:-1]]
+            out.append((int(block[a]), ref[some].astype("<u8").tobytes(), n[some].astype("<u4").tobytes(), np.diff(run).astype("<u4").tobytes(), low[a:b].tobytes()))
+        # extras: the first of the other shingles
+        if missing.any():
+            short = (missing > 0)[owner] & ~counted
+            value, who = values[short], owner[short]
+            at = np.lexsort((value, order.value[cell[short].astype(np.int64)], who))
+            value, who = value[at], who[at]
+            first = np.searchsorted(who, np.arange(len(n)))
+            keep = np.arange(len(who)) - first[who] < missing[who]
+            value, who = value[keep], who[keep]
+            group = (ref[who] % U(groups)).astype(np.int64)
+            at = np.argsort(group, kind="stable")
+            value, who, group = value[at], who[at], group[at]
+            for a, b in zip((e := _edges(group))[:-1], e[1:]):
+                run = _edges(who[a:b])
+                some = who[a:b][run[:-1]]
+                out.append((-1 - int(group[a]), ref[some].astype("<u8").tobytes(), n[some].astype("<u4").tobytes(), np.diff(run).astype("<u4").tobytes(), value[a:b].astype("<u8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), packed)], schema=packed) if out else pa.RecordBatch.from_pylist([], schema=packed)
+
+    back = pa.schema([("grp", pa.int32()), ("block", pa.int64()), ("refs", pa.binary()), ("sizes", pa.binary()), ("lone", pa.binary()), ("cnt", pa.binary()), ("low", pa.binary()), ("freq", pa.binary())])
+
+    def counted(key, got):
+        block = key[0].as_py()
+        if block < 0:
+            m = len(got)
+            none = pa.array([b""] * m, pa.binary())
+            return pa.Table.from_arrays([pa.array([-1 - block] * m, pa.int32()), got.column("block"), got.column("refs"), got.column("sizes"), none, got.column("cnt"), got.column("low"), none], schema=back)
+        refs, sizes, cnt, low = (_raw(got, c, t) for c, t in (("refs", "<u8"), ("sizes", "<u4"), ("cnt", "<u4"), ("low", "<u4")))
+        ref, size = np.repeat(refs, cnt), np.repeat(sizes, cnt)
+        at = np.lexsort((ref, low))
+        ref, size, low = ref[at], size[at], low[at]
+        new = np.ones(len(low), bool)
+        new[1:] = (ref[1:] != ref[:-1]) | (low[1:] != low[:-1])
+        ref, size, low = ref[new], size[new], low[new]
+        run = np.diff(_edges(low))
+        df = np.repeat(run, run)
+        at = np.lexsort((ref, ref % U(groups)))
+        ref, size, low, df = ref[at], size[at], low[at], df[at]
+        edge = _edges(ref)
+        lone = np.add.reduceat(df == 1, edge[:-1])
+        more = np.diff(edge) - lone
+        group = (ref[edge[:-1]] % U(groups)).astype(np.int64)
+        shared = df > 1
+        freq = np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8)
+        at_shared = np.concatenate([[0], np.cumsum(shared)])
+        out = []
+        for a, b in zip((e := _edges(group))[:-1], e[1:]):
+            first = edge[a:b]
+            lo, hi = at_shared[edge[a]], at_shared[edge[b]]
+            out.append((int(group[a]), block, ref[first].astype("<u8").tobytes(), size[first].astype("<u4").tobytes(), lone[a:b].astype("<u4").tobytes(), more[a:b].astype("<u4").tobytes(), (lo, hi)))
+        low, freq = low[shared], freq[shared]
+        out = [(*x[:6], low[x[6][0] : x[6][1]].tobytes(), freq[x[6][0] : x[6][1]].tobytes()) for x in out]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), back)], schema=back)
+
+    def cut(key, got):
+        extra = np.array(got.column("block")) < 0
+        parts = got.filter(pa.array(~extra)), got.filter(pa.array(extra))
+        refs = [_raw(t, "refs", "<u8") for t in parts]
+        known, inverse = np.unique(np.concatenate(refs), return_inverse=True)
+        n = np.zeros(len(known), np.int64)
+        n[inverse] = np.concatenate([_raw(t, "sizes", "<u4") for t in parts])
+        one, two = inverse[: len(refs[0])], inverse[len(refs[0]) :]
+        lone = np.bincount(one, _raw(parts[0], "lone", "<u4"), len(known)).astype(np.int64)
+        who = np.repeat(one, _raw(parts[0], "cnt", "<u4"))
+        block = np.repeat(np.array(parts[0].column("block"), np.uint64), [len(x) // 4 for x in parts[0].column("low").to_pylist()])
+        token = (_raw(parts[0], "low", "<u4").astype(np.uint64) * U(blocks) + block) * U(2)
+        freq = _raw(parts[0], "freq", "u1").astype(np.int64)
+        # extras stand after all counted ones, in the order in which they came
+        value = _raw(parts[1], "low", "<u8")
+        x_who = np.repeat(two, _raw(parts[1], "cnt", "<u4"))
+        x_freq = 256 + np.array(order.value)[(value >> U(64 - FREQUENCY_BITS)).astype(np.int64)]
+        who, token, freq = np.concatenate([who, x_who]), np.concatenate([token, value | U(1)]), np.concatenate([freq, x_freq])
+        at = np.lexsort((token, freq, who))
+        who, token = who[at], token[at]
+        new = np.ones(len(who), bool)
+        new[1:] = (who[1:] != who[:-1]) | (token[1:] != token[:-1])
+        who, token = who[new], token[new]
+        pos = lone[who] + np.arange(len(who)) - np.searchsorted(who, np.arange(len(known)))[who]
+        keep = pos < _prefix_length(n, num, den)[who]
+        who, token, pos = who[keep], token[keep], pos[keep]
+        edge = _edges(who)
+        some = who[edge[:-1]]
+        offsets = pa.array(edge.astype(np.int32))
+        return pa.Table.from_arrays([longs(known[some]), pa.array(n[some]), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32))), pa.ListArray.from_arrays(offsets, longs(token))], ["ref", "n", "pos", "token"])
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
+    dealt = known.mapInArrow(postings, "block long, refs binary, sizes binary, cnt binary, low binary").groupBy("block")
+    dealt = dealt.applyInArrow(counted, "grp int, block long, refs binary, sizes binary, lone binary, cnt binary, low binary, freq binary")
+    return dealt.groupBy("grp").applyInArrow(cut, "ref long, n long, pos array<int>, token array<long>")
+
+
 def _candidates(rows: list, forest: bool, num: int, den: int) -> list[tuple[int, int]]:
     """Index pairs of one list that pass the filters. rows: arrays n, pos, side, comp and signatures.
 
@@ -181,31 +353,29 @@ def _lists(rows: DataFrame, keys: list[str], forest: bool, num: int, den: int) -
     return rows.mapInPandas(walk, "a binary, b binary").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole sets are similar enough. Sets are made anew from the texts of the classes in question:
-    a bitmap of fixed size finds these while scanning, the join makes it exact."""
+def _verified(docs: DataFrame, pairs: DataFrame, texts_of: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose whole sets are similar enough. Sets are made anew from one text of each class in question (texts_of: cls, h):
+    a bitmap of fixed size over hashes of texts finds these while scanning, the join makes it exact."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
 
     def cells(batches):
         for batch in batches:
-            raw = batch.column(0).to_pylist()
-            cell = np.unique(np.frombuffer(b"".join(x[:8] for x in raw), ">u8").astype(np.uint64) >> U(64 - CANDIDATE_BITS))
+            cell = np.unique(np.array(batch.column(0)).view(np.uint64) >> U(64 - CANDIDATE_BITS))
             yield pa.RecordBatch.from_pylist(list(blocks_of(cell, np.ones(len(cell)), 0)), schema=pa.schema([("line", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary())]))
 
-    wanted = spark.sparkContext.broadcast(gathered_bits(merged_bits(nodes.mapInArrow(cells, BLOCKS), 1), 1, CANDIDATE_BITS))
+    hashes = texts_of.join(nodes, "cls", "left_semi").select("h")
+    wanted = spark.sparkContext.broadcast(gathered_bits(merged_bits(hashes.mapInArrow(cells, BLOCKS), 1), 1, CANDIDATE_BITS))
 
     def sets(batches):
         bitmap = wanted.value[0]
         for batch in batches:
-            for _, texts in slices(batch, "text"):
+            some = batch.filter(pa.array(bit_at(bitmap, np.array(batch.column(1)).view(np.uint64) >> U(64 - CANDIDATE_BITS)) == 1))
+            for _, texts in slices(some, "text"):
                 values, counts = shingle_sets(texts, k)
-                keys = _class_keys(values, counts)
-                cell = np.frombuffer(b"".join(x or b"\0" * 8 for x in (x and x[:8] for x in keys)), ">u8").astype(np.uint64) >> U(64 - CANDIDATE_BITS)
-                keep = (bit_at(bitmap, cell) == 1) & (counts > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, w in zip(keys, keep) if w], pa.binary()), lists(values[np.repeat(keep, counts)], counts[keep])], ["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(values, counts), pa.binary()), lists(values, counts)], ["cls", "shingles"])
 
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(sets, "cls binary, shingles array<long>")
+    found = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(sets, "cls binary, shingles array<long>")
     found = found.join(nodes, "cls", "left_semi").dropDuplicates(["cls"])  # dealt out once: both joins read that shuffle
     both = pairs.join(found.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -217,37 +387,22 @@ def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[in
     num, den = threshold
     spark = docs.sparkSession
     rows = saved(document_sets(docs, shingle, id_col, text_col))
-    per_doc = rows.where("block is null").select("doc_id", "n", "cls")
-    classes = per_doc.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    frequency = spark.sparkContext.broadcast(_frequencies(rows))
-
-    def prefixes(batches):
-        table = frequency.value
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                values, counts = shingle_sets(texts, shingle)
-                owner = np.repeat(np.arange(len(texts)), counts)
-                first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-                order = np.lexsort((values, table[(values >> U(64 - FREQUENCY_BITS)).astype(np.int64)], owner))
-                place = np.arange(len(values)) - first[owner]
-                some = np.minimum(counts, _prefix_length(counts, num, den)) * (counts > 0)
-                chosen = values[order][place < some[owner]]
-                odd = np.bincount(owner * PARITIES + (mix(values) % U(PARITIES)).astype(np.int64), minlength=len(texts) * PARITIES) & 1
-                sig = np.packbits(odd.astype(np.uint8)).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(values, counts), pa.binary()), pa.array(counts, pa.int64()), lists(chosen, some), pa.array([sig[PARITIES // 8 * i : PARITIES // 8 * (i + 1)] for i in range(len(texts))], pa.binary())], ["cls", "n", "prefix", "sig"])
-
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
-    heads = saved(known.mapInArrow(prefixes, "cls binary, n long, prefix array<long>, sig binary").where("cls is not null").dropDuplicates(["cls"]))
-    tokens = heads.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    from pyspark.sql import Window
-
-    tokens = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+    per_doc = rows.where("block is null")
+    with_id = per_doc.where("cls is not null and doc_id is not null")
+    classes = with_id.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    size = per_doc.agg(F.sum("n").alias("total"), F.count("*").alias("rows")).first()
+    lists_ = saved(prefix_lists(docs, _frequencies(rows), size["total"] or 0, size["rows"], shingle, num, den, id_col, text_col))
+    heads = with_id.join(lists_.select("ref"), "ref", "left_semi").groupBy("cls").agg(F.first("ref").alias("ref"), F.first("sig").alias("sig"), F.min("h").alias("h"))
+    heads = saved(heads)
+    tokens = lists_.select("ref", "n", F.explode(F.arrays_zip("pos", "token")).alias("at")).select("ref", "n", "at.pos", "at.token")
+    sizes = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    tokens = tokens.join(sizes, "token").join(heads.select("ref", "cls"), "ref").drop("ref")
     listed = saved(tokens.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls", "token"), F.col("chunks")).cast("int")))
     signatures = heads.select("cls", "sig")  # joined last, so that they are dealt out once
 
     one = listed.withColumns({"side": F.lit(0), "comp": F.lit(None).cast("binary")})
     tried = saved(_lists(one.join(signatures, "cls"), ["token", "chunk"], True, num, den))
-    links = saved(_verified(docs, tried, shingle, num, den, id_col, text_col))
+    links = saved(_verified(docs, tried, heads, shingle, num, den, id_col, text_col))
     comps = connected(links)
 
     # a list of two was compared in full by the first round
@@ -260,12 +415,12 @@ def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[in
     more = _lists(spread.join(signatures, "cls"), ["token", "ci", "cj"], False, num, den).join(tried, ["a", "b"], "left_anti")
     more = saved(more)
     if more.limit(1).count():
-        more_links = saved(_verified(docs, more, shingle, num, den, id_col, text_col))
+        more_links = saved(_verified(docs, more, heads, shingle, num, den, id_col, text_col))
         if more_links.limit(1).count():
             comps = connected(links.union(more_links))
     joined = classes.join(comps, classes["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = joined.join(least, "comp").select("cls", "component_id")
-    out = per_doc.join(of_class, "cls", "left")
+    out = per_doc.select("doc_id", "n", "cls").join(of_class, "cls", "left")
     lone = F.when(F.col("cls").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), lone.alias("component_id"))
