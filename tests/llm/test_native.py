@@ -107,3 +107,52 @@ def test_permutation(spark):
     assert pseudonymised(rows, KEY).select("text").distinct().count() == 2000
     assert spark.range(1).select(luhn_sum(F.lit("4111111111111111")).alias("s")).first()["s"] % 10 == 0
     assert pseudonymised(documents(spark, []), KEY).collect() == []
+
+
+def test_numbers_are_validated_and_stay_valid(spark):
+    rows = [
+        (1, "ssn 123-45-6789 000-12-3456 666-12-3456 900-12-3456 123-00-6789 123-45-0000 899-99-9999 001-01-0001 665-01-0001 667-01-0001"),
+        (2, "415-555-2671, 415.555.2671, +1 415-555-2671, 1-415-555-2671 and +1 (415) 555-2671; 115-555-2671 (415) 155-2671 +49 (030) 155-2671 415-555.2671"),
+    ]
+    hidden = pseudonymised(documents(spark, rows), KEY)
+    got = {r["doc_id"]: r["text"] for r in hidden.collect()}
+    assert {r["doc_id"]: r["text"] for r in pseudonymised(hidden, KEY, decrypt=True).collect()} == dict(rows)
+    old, new = rows[0][1].split()[1:], got[1].split()[1:]
+    assert [a == b for a, b in zip(old, new)] == [False, True, True, True, True, True, False, False, False, False]
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for i, x in enumerate(new) if i not in (1, 2, 3, 4, 5))
+    phones = re.findall(r"\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}", got[2])
+    assert len({re.sub(r"\D", "", x) for x in phones[:5]}) == 1 and phones[0] != "415-555-2671"
+    assert all(x[0] in "23456789" for x in re.sub(r"[()]", "", phones[0]).split("-")[:2])
+    assert phones[5] == "115-555-2671" and phones[6] == "(415) 155-2671" and phones[7] != "(030) 155-2671" and "+49 (" in got[2] and phones[8] == "415-555.2671"
+
+
+def test_very_long_texts(spark):
+    import time
+
+    rows = [
+        (1, "x@" + "a." * 100_000 + "com"),
+        (2, "k7" * 500_000),
+        (3, "a.b-" * 250_000 + "@"),
+        (4, "1 " * 300_000),
+        (5, "z" * 70 + "@mail.example.com but ann@mail.example.com"),
+        (6, "ab12" * 250_000 + " q9XvT2bLw8RkZ1mNc4Yh7PdJ"),
+    ]
+    docs = documents(spark, rows)
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in pseudonymised(docs, KEY).collect()}
+    assert time.time() - start < 40
+    assert all(got[i] == dict(rows)[i] for i in (1, 2, 3, 4)) and got[5].startswith(rows[4][1][:74]) and "ann@" not in got[5]
+    start = time.time()
+    model = train(training_samples(documents(spark, [(1, "plain words of a plain text " * 40)])))
+    spans = {r["doc_id"]: r["s"] for r in find_secrets(docs, model).select("doc_id", span_string(F.col("spans")).alias("s")).collect()}
+    assert time.time() - start < 60
+    assert spans[6].endswith("markov:1000001:1000025")
+
+
+def test_other_columns_and_repeated_rows(spark):
+    rows = [(1, "call (415) 555-2671", "s", 9)] * 3 + [(None, None, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, base long")
+    hidden = pseudonymised(docs, KEY)
+    assert hidden.columns == docs.columns and hidden.where("doc_id = 1").distinct().count() == 1
+    found = find_secrets(docs).collect()
+    assert len(found) == 4 and all(not r["spans"] for r in found)
