@@ -74,11 +74,16 @@ def training_samples(docs: DataFrame, sample: int = 2_000, strings: int = 4_000,
     made = F.array(base64, F.translate(base64, "+/=", "-_"), F.upper(F.regexp_replace(base64, "[+/=]", "")), F.substring(digest, 1, 40), half, F.upper(half), letters, F.lower(letters), F.upper(letters))
     random = spark.range(strings).select(F.explode(made).alias("sample"), F.lit(1).alias("label"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), text.alias("text")).orderBy("h", "i").limit(sample)
+    # the least hashes of rows: only a hash travels, and only of the few rows that can be among them; equal rows are one
+    keyed = docs.select(F.xxhash64(id_col, text).alias("h"), text.alias("text"))
+    total = max(1, docs.count())
+    most = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * sample // total)
+    chosen = keyed.where(F.col("h") <= F.lit(most)).select("h").distinct().orderBy("h").limit(sample)
+    some = keyed.join(F.broadcast(chosen), "h").dropDuplicates(["h"])
     plain = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", " ")
     words = F.filter(F.split(plain, r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= 2) & ~((F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")))
-    few = F.slice(F.array_distinct(words), 1, 24)
-    joined = F.array(*[F.array_join(few, sign) for sign in "_-/"], F.array_join(F.transform(few, lambda w: F.initcap(w)), ""), F.upper(F.array_join(few, "_")))
+    kinds = F.array_distinct(words)
+    joined = F.array(*[F.array_join(kinds, sign) for sign in "_-/"], F.array_join(F.transform(kinds, lambda w: F.initcap(w)), ""), F.upper(F.array_join(kinds, "_")))
     ordinary = some.select(F.explode(F.concat(words, joined)).alias("sample"), F.lit(0).alias("label"))
     number = F.lpad((F.abs(F.xxhash64("id")) % 10_000_000_000_000_000).cast("string"), 16, "0")
     groups = [F.regexp_replace(number, "^(....)(....)(....)(....)$", f"$1{sign}$2{sign}$3{sign}$4") for sign in "-/_"]
@@ -92,13 +97,18 @@ def training_samples(docs: DataFrame, sample: int = 2_000, strings: int = 4_000,
     return random.union(ordinary).union(numbers).union(rulers).union(known)
 
 
+def pairs_of(token: Column) -> Column:
+    """All pairs of neighbours, by one pass of the pattern."""
+    return F.regexp_extract_all(token, F.lit("(?=([A-Za-z0-9+/_=-]{2}))"), F.lit(1))
+
+
 def train(samples: DataFrame) -> list[float]:
     """The log-likelihood ratio of each pair of the alphabet, row by row, with add-one smoothing."""
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring(F.col("sample"), i, F.lit(2))))
+    pair = F.explode(pairs_of(F.col("sample")))
     counts = samples.where(F.length("sample") >= 2).select("label", pair.alias("pair")).groupBy("label", "pair").count()
     k = len(ALPHABET)
     table = {0: [[1.0] * k for _ in range(k)], 1: [[1.0] * k for _ in range(k)]}
-    for r in counts.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect():  # at most 2 * 67 * 67 rows
+    for r in counts.collect():  # at most 2 * 67 * 67 rows
         a, b = (ALPHABET.index(c) for c in r["pair"])
         table[r["label"]][a][b] += r["count"]
     out = []
@@ -110,9 +120,8 @@ def train(samples: DataFrame) -> list[float]:
 
 def ratio(token: Column, table: Column) -> Column:
     """The mean log-likelihood ratio of the token's character pairs."""
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    at = F.sequence(F.lit(1), F.length(token) - 1)
-    total = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.element_at(table, place(i) * len(ALPHABET) + place(i + 1) + 1))
+    place = lambda pair, i: F.instr(F.lit(ALPHABET), F.substring(pair, i, 1)) - 1
+    total = F.aggregate(pairs_of(token), F.lit(0.0), lambda acc, p: acc + F.element_at(table, place(p, 1) * len(ALPHABET) + place(p, 2) + 1))
     return total / (F.length(token) - 1)
 
 
