@@ -2,8 +2,9 @@ import random
 
 import pytest
 from brute import documents
+from pyspark.sql import functions as F
 
-from wayfold.llm.linededup import line_dedup, maximal_runs
+from wayfold.llm.linededup import interval_levels, later_runs, line_dedup, maximal_runs, repeated_lines
 
 
 def brute(rows, m):
@@ -103,3 +104,31 @@ def test_pipeline_deletes_long_single_lines(spark):
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, documents(spark, rows), "").collect())
     kept = f"c\nd\n{short}"
     assert [x[:2] for x in got] == [rows[0], (2, kept)] and got[1][2] == len(kept)
+
+
+def test_runs_reach_the_longest_copy(spark):
+    rnd = random.Random(5)
+    long = [f"l{i}" for i in range(37)]
+    rows = [(1, "\n".join(["a", *long, "b"])), (2, "\n".join(["c", *long[3:30], "d", *long[5:9]])), (3, "\n".join([*long, "e"]))]
+    rows += [(10 + i, "\n".join(f"own {rnd.random()}" for _ in range(5))) for i in range(10)]
+    docs = documents(spark, rows)
+    levels = interval_levels(repeated_lines(docs))
+    assert len(levels) == 6  # 1, 2, 4, 8, 16 and 32 lines
+    runs = {r["_doc"]: [tuple(x) for x in r["runs"]] for r in later_runs(docs, 2).collect()}
+    assert runs == {2: [(1, 27), (29, 4)], 3: [(0, 37)]}
+    # every suffix of an interval has the same lines
+    text = {d: t.split("\n") for d, t in rows}
+    for k, level in enumerate(levels):
+        got = {}
+        for r in level.collect():
+            got.setdefault(r["r"], set()).add(tuple(text[r["_doc"]][r["pos"] : r["pos"] + (1 << k)]))
+        assert all(len(x) == 1 for x in got.values()) and len(got) == len(set().union(*got.values()))
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nd"), (2, "a\nb\nd"), (None, "a\nb"), (3, None)]
+    extra = documents(spark, rows).withColumnsRenamed({"lang": "_doc", "source": "_cut"}).withColumn("_tie", F.lit(7)).withColumn("N_removed", F.lit("x"))
+    out = line_dedup(extra, 2)
+    assert out.columns == ["doc_id", "text", "_doc", "_cut", "n_chars", "_tie", "n_lines", "n_removed"]
+    assert sorted(((r["doc_id"], r["text"], r["n_removed"], r["_tie"]) for r in out.collect()), key=str) == sorted([(1, "a\nb\nc", 0, 7), (2, "d", 2, 7), (2, "d", 2, 7), (None, "a\nb", 0, 7), (3, None, 0, 7)], key=str)
+    assert line_dedup(extra, 2, counts=("x", "y")).columns == [*extra.columns, "x", "y"]

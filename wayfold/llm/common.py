@@ -30,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(names: list[str], want: str) -> str:
+    """``want``, behind as many underscores as set it apart from ``names``."""
+    taken = {n.lower() for n in names}
+    while want.lower() in taken:
+        want = "_" + want
+    return want
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as UTF-8) in runs of about ``limit`` bytes; null is empty. A longer text is a run of its own."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())

@@ -3,15 +3,18 @@
 A document is the sequence of its lines that are not blank. Lines that occur once in the corpus end a sequence (they are in no
 repeated run), so only the others are sorted. The suffix array is made by distributed prefix doubling: the rank of a suffix's first 2h lines is that of
 the pair (rank of its first h lines, rank of the suffix h lines further on). Pairs are counted, sorted by range and numbered in order; no step has a single task or a driver loop over rows.
+Doubling goes on until no suffix shares its prefix, so to the longest repeated run; a suffix whose first h lines are no other's has its place and leaves.
 
-Suffixes with ``min_lines`` equal first lines are neighbours in the array: an interval of longest common prefixes of ``min_lines`` or more. Of each interval the first
-suffix in (doc_id, line) order stays, and the ``min_lines`` lines at every other one are deleted; together these are all later copies of maximal repeated runs.
+Suffixes with equal first lines are neighbours in the array: those of equal rank at a length of ``h`` lines are an interval of longest common prefixes of ``h`` or more.
+A common prefix of any length is covered by two intervals of the power of two below it, so the intervals of all lengths, together, cover every maximal repeated run from end to end. Of each interval the first
+suffix in (doc_id, line) order stays, and the interval's lines at every other one are deleted, from ``min_lines`` lines on: these are all later copies of maximal repeated runs.
 With ``min_words``, a run of fewer than ``min_lines`` lines counts too if it has at least so many words (what stands between white space; a line in a script
 without spaces has few): later copies of its lines are deleted in the same way, length by length. Without it, shorter runs stay, however long their lines.
-``maximal_runs`` gives the runs themselves, from the common prefixes of neighbours in the whole array.
+``later_runs`` gives the deleted runs, ``maximal_runs`` the repeated runs themselves, from the common prefixes of neighbours in the whole array.
 
 Blank lines go with the line before them. Cases: a null text stays null and has no lines; empty texts stay; of repeated rows (equal doc_id and text) none is earlier, so they
-lose nothing to each other; rows of a null doc_id are left alone and no source of copies; other columns stay as they are, whatever their names; an empty table gives an empty result.
+lose nothing to each other; rows of a null doc_id are left alone and no source of copies; other columns stay as they are, whatever their names, but for such as
+are named like the two result columns (``counts``), which these replace; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import saved
+from .common import free_name, saved
 
 KEY = ["_doc", "_tie"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,22 +80,44 @@ def suffix_ranks(lines: DataFrame, least: int | None = None) -> list[DataFrame]:
     return levels
 
 
+def interval_levels(lines: DataFrame) -> list[DataFrame]:
+    """Of the lengths 1, 2, 4, ... up to the longest repeated run: (_doc, _tie, pos, rem, r, first) of the suffixes that share so many first lines with another:
+    the interval's rank, and its first place in (doc_id, line) order. The first table has no ``first``."""
+    levels, h = [lines], 1
+    while True:
+        top = levels[-1].select(*KEY, "pos", "rem", "r")
+        there = top.select(*KEY, (F.col("pos") - h).alias("pos"), F.col("r").alias("r2"))
+        pairs = saved(top.where(F.col("rem") >= 2 * h).join(there, [*KEY, "pos"]))
+        shared = pairs.groupBy("r", "r2").agg(F.min(F.struct(*KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        keys = numbered(shared.select(F.col("r").alias("p"), F.col("r2").alias("q"), "first"), "p", "q")
+        if keys.isEmpty():
+            return levels
+        level = pairs.join(keys, (pairs["r"] == keys["p"]) & (pairs["r2"] == keys["q"])).select(*KEY, "pos", "rem", keys["r"], "first")
+        levels.append(saved(level))
+        h *= 2
+
+
 def later_copies(lines: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
-    """(_doc, _tie, pos, n): the ``n`` lines at ``pos`` also start at an earlier place; n is ``min_lines``, or less where they have ``min_words`` words."""
-    levels = suffix_ranks(lines, min_lines)
+    """(_doc, _tie, pos, n): the ``n`` lines at ``pos`` also start at an earlier place. n is a power of two, or ``min_lines``, or less than that where the lines have ``min_words`` words;
+    it is the greatest of these for each place."""
+    levels = interval_levels(lines)
     place = F.struct(*KEY, "pos")
 
     def copies(n: int) -> DataFrame:
         half = 1 << (n.bit_length() - 1)  # the longest ranked prefix within n lines; two of them overlap to cover it
-        top = levels[min(len(levels) - 1, n.bit_length() - 1)]
+        if n.bit_length() > len(levels):
+            return lines.where("false").select(*KEY, "pos", F.lit(n).alias("n"))
+        top = levels[n.bit_length() - 1]
         rows = top.where(F.col("rem") >= n)
         if n < min_lines:
             ahead = Window.partitionBy(*KEY).orderBy(F.col("pos").cast("long")).rangeBetween(0, n - 1)
             enough = lines.withColumn("words", F.sum("words").over(ahead)) if n > 1 else lines
             enough = enough.where((F.col("rem") >= n) & (F.col("words") >= min_words))
             rows = rows.join(enough.select(*KEY, "pos"), [*KEY, "pos"], "left_semi") if n > 1 else enough
+        if half == n > 1:
+            return rows.where(place != F.col("first")).select(*KEY, "pos", F.lit(n).alias("n"))
         if half < n:
-            rows = _ahead(top, rows, n - half, "r2")
+            rows = rows.drop("first").join(top.select(*KEY, (F.col("pos") - (n - half)).alias("pos"), F.col("r").alias("r2")), [*KEY, "pos"])
         else:
             rows = rows.withColumn("r2", F.lit(-1))
         first = rows.groupBy("r", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("r").alias("p"), F.col("r2").alias("q"), "first")
@@ -101,7 +126,29 @@ def later_copies(lines: DataFrame, min_lines: int, min_words: int | None = None)
     out = copies(min_lines)
     for n in range(1, min_lines if min_words is not None else 1):
         out = out.union(copies(n))
-    return out
+    for k, level in enumerate(levels):
+        if 1 << k > min_lines:
+            out = out.union(level.where(place != F.col("first")).select(*KEY, "pos", F.lit(1 << k).alias("n")))
+    return out.groupBy(*KEY, "pos").agg(F.max("n").alias("n"))
+
+
+def later_runs(docs: DataFrame, min_lines: int = 2, min_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_doc, _tie, runs: array of (pos, length)): what is deleted of each document, as runs of lines that don't touch."""
+    cuts = later_copies(repeated_lines(docs, id_col, text_col, min_words), min_lines, min_words)
+    found = F.array_sort(F.collect_list(F.struct("pos", F.col("n").cast("int").alias("length"))))
+
+    def grow(acc, x):
+        last = acc["last"]
+        end = last["pos"] + last["length"]
+        longer = F.struct(last["pos"].alias("pos"), F.greatest(last["length"], x["pos"] - last["pos"] + x["length"]).alias("length"))
+        joined = F.struct(acc["done"].alias("done"), longer.alias("last"))
+        apart = F.struct(F.when(last["length"] > 0, F.concat(acc["done"], F.array(last))).otherwise(acc["done"]).alias("done"), x.alias("last"))
+        return F.when((last["length"] > 0) & (x["pos"] <= end), joined).otherwise(apart)
+
+    run = "struct<pos:int,length:int>"
+    start = F.struct(F.array().cast(f"array<{run}>").alias("done"), F.struct(F.lit(0).alias("pos"), F.lit(0).alias("length")).cast(run).alias("last"))
+    merged = F.aggregate("found", start, grow, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+    return cuts.groupBy(*KEY).agg(found.alias("found")).select(*KEY, merged.alias("runs"))
 
 
 def maximal_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,15 +184,17 @@ def maximal_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", te
     return longest.withColumn("_inner", F.coalesce(inner, F.lit(False))).where("not _inner").select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "pos", "length")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from ``text_col``, and the columns ``n_lines`` and ``n_removed``
+def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with later copies of repeated line runs deleted from ``text_col``, and the columns that ``counts`` names: how many lines were there and how many are deleted
     (of lines that are not blank). A run has ``min_lines`` lines, or ``min_words`` words, or more."""
-    cuts = later_copies(repeated_lines(docs, id_col, text_col, min_words), min_lines, min_words).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n")).alias("_cut"))
+    docs = docs.drop(*counts)
     names = docs.columns
-    keyed = docs.select("*", *_keyed(docs, id_col, text_col))
-    joined = keyed.join(cuts, KEY, "left").select(*names, "_cut")
+    doc, tie, cut_col = (free_name(names, x) for x in ("_doc", "_tie", "_cut"))
+    runs = later_runs(docs, min_lines, min_words, id_col, text_col).toDF(doc, tie, cut_col)
+    keyed = docs.withColumns({doc: F.col(id_col).cast("long"), tie: F.xxhash64(text_col)})
+    joined = keyed.join(runs, [doc, tie], "left").select(*names, cut_col)
     at = names.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(counts[0], LongType()), StructField(counts[1], LongType())])
 
     def cut(batches):
         for batch in batches:
@@ -158,7 +207,7 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text
                     texts.append(text)
                     removed.append(0)
                     continue
-                first, n = (np.asarray([x[c] for x in starts]) for c in ("pos", "n"))
+                first, n = (np.asarray([x[c] for x in starts]) for c in ("pos", "length"))
                 edge = np.zeros(len(full) + 1, np.int64)
                 np.add.at(edge, first, 1)
                 np.add.at(edge, first + n, -1)
@@ -174,6 +223,6 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text
                 texts.append("\n".join(kept))
             cols = batch.columns[: len(names)]
             cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts])
 
     return joined.mapInArrow(cut, schema)
