@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 from brute import documents, similar
+from pyspark.sql import functions as F
 from test_linededup import brute as lines_of
 from tokenizers import Tokenizer
 
@@ -56,3 +57,31 @@ def test_stages(spark, tmp_path):
     assert sum(r["length"] for r in last.collect()) == total
     whole = sorted(map(tuple, corpus_pipeline.run(spark, where).drop("sequence_id", "offset").collect()))
     assert whole == sorted(map(tuple, last.drop("sequence_id", "offset").collect()))
+
+
+def test_rows_are_told_apart(spark):
+    """Repeated ids, equal rows, null ids and texts, and extra columns with the names that stages use inside."""
+    words = [f"w{i}" for i in range(40)]
+    near, other = " ".join(words), " ".join(reversed(words))
+    copy = " ".join([*words[:-1], "changed"])
+    rows = [(1, near), (2, copy), (2, other), (3, near), (3, near), (4, "lone text of its own"), (4, "lone text of its own"), (None, near), (None, near), (5, None), (5, None), (6, ""), (7, other)]
+    docs = documents(spark, rows)
+    for i, name in enumerate(["_doc", "_cut", "_tie", "n_removed", "n_lines", "text_hash", "score", "component", "cls", "h", "n"]):
+        docs = docs.withColumn(name, F.lit(i))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, near), (2, other), (4, "lone text of its own"), (None, near), (None, near), (5, None), (5, None), (6, "")], key=str)
+    by_line = corpus_pipeline.lines(spark, docs, "")
+    assert by_line.columns == docs.columns and by_line.count() == len(rows)
+    assert all(r["n_removed"] == 3 and r["_cut"] == 1 for r in by_line.collect())
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").collect() == []
+    assert corpus_pipeline.lines(spark, docs.where("false"), "").collect() == []
+
+
+def test_empty_tables(spark, tmp_path):
+    where = f"file://{tmp_path}"
+    documents(spark, []).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, where).collect() == []

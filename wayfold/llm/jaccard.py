@@ -384,6 +384,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts_of: DataFrame, k: int, nu
 
 def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``. threshold: similarity as numerator and denominator."""
+    return similarity_groups(docs, shingle, threshold, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def similarity_groups(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``similarity_components``, with two columns more: ``text_hash`` (xxhash64 of the text) tells rows of one doc_id apart, and
+    ``component`` is the group itself (null for empty sets and null ids), as one doc_id may stand in several groups."""
     num, den = threshold
     spark = docs.sparkSession
     rows = saved(document_sets(docs, shingle, id_col, text_col))
@@ -420,7 +426,13 @@ def similarity_components(docs: DataFrame, shingle: int = 5, threshold: tuple[in
             comps = connected(links.union(more_links))
     joined = classes.join(comps, classes["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = joined.join(least, "comp").select("cls", "component_id")
-    out = per_doc.select("doc_id", "n", "cls").join(of_class, "cls", "left")
-    lone = F.when(F.col("cls").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), lone.alias("component_id"))
+    of_class = joined.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component"))
+    out = per_doc.select("doc_id", "n", "cls", "h").join(of_class, "cls", "left")
+    alone = F.col("cls").isNull() | F.col("doc_id").isNull()
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("h").alias("text_hash"),
+        F.when(~alone, F.col("component")).alias("component"),
+    )
