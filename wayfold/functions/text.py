@@ -13,10 +13,13 @@ from pyspark.sql.types import DoubleType
 
 @lru_cache(maxsize=1)
 def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
-    """Characters whose compatibility decomposition leaves one ASCII letter, digit or space, and those that leave several."""
+    """Characters whose compatibility decomposition leaves one ASCII letter, digit or space, and those that leave several.
+
+    Blocks that came after Unicode 13 are left out, so that the table does not depend on the version that this Python knows."""
     one, many = {}, {}
+    later = {*range(0xA7F2, 0xA7F5), *range(0x10780, 0x107C0), *range(0x1E030, 0x1E090)}
     for code in range(128, 0x110000):
-        if 0xD800 <= code < 0xE000:
+        if 0xD800 <= code < 0xE000 or code in later:
             continue
         c = chr(code)
         form = unicodedata.normalize("NFKD", c)

@@ -8,11 +8,47 @@ from pyspark.sql import functions as F
 from ..tables import saved
 
 
-def connected(edges: DataFrame) -> DataFrame:
+#: Edges that one task may join by itself (some tens of MB).
+FEW = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Union-find over edges (u, v)."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent: dict = {}
+
+        def root(x):
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            field = batch.schema.field(0).type
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)  # so a root is the least of its tree
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, field), pa.array([root(x) for x in nodes], field)], ["node", "comp"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, comp {kind}")
+
+
+def connected(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, comp) of every node of ``edges`` (a, b): the least node it is connected with.
 
-    Rounds of large-star and small-star (Kiveris et al., 2014), each written as a table; long chains take a logarithmic number."""
+    Up to ``FEW`` edges are joined by one task. Beyond, rounds of large-star and small-star (Kiveris et al., 2014), each written as a table; long chains take a logarithmic number."""
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= few:
+        return saved(_in_one_task(edges))
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))

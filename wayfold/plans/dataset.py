@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CITIES, SHARD_LINES, WINDOW_DAYS
+from ..functions.time import midnight_ms
 from ..operators.metrics import combo_metrics, impressions, merged_days, place_metrics, sessions_before, window
 from ..operators.prefix_index import build_index
 from ..operators.resolve import resolve
@@ -15,18 +16,30 @@ from ..tables import saved
 from . import snapshot
 
 
+#: Places of one JSON array document.
+ARRAY_PLACES = 10_000
+
+
 def build_dataset(spark: SparkSession, sources, boxes=tuple(CITIES.values())) -> DataFrame:
     return resolve(fetch_all(spark, sources, list(boxes)))
 
 
-def write_places(places: DataFrame, path: str, json: bool = False) -> None:
+def write_places(places: DataFrame, path: str, json: bool = False) -> dict:
+    """Writes Parquet and, with ``json``, array documents of about ``ARRAY_PLACES`` places under ``<path>_json``; returns counts that the write itself observed."""
+    seen = Observation("places")
+    places = places.observe(seen, F.count("*").alias("places"), F.count_if(F.size("sources") > 1).alias("from several sources"))
     places.write.mode("overwrite").parquet(path)
+    counts = seen.get
     if json:
-        places.write.mode("overwrite").json(f"{path}_json")
+        n = max(1, -(-counts["places"] // ARRAY_PLACES))
+        rows = places.sparkSession.read.schema(MERGED_POI).parquet(path).select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("document"), F.to_json(F.struct("*")).alias("value"))
+        documents = rows.groupBy("document").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
+        documents.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{path}_json")
+    return counts
 
 
 def read_places(spark: SparkSession, path: str, json: bool = False) -> DataFrame:
-    """Parquet, or one JSON array document."""
+    """Parquet, or JSON array documents."""
     reader = spark.read.schema(MERGED_POI)
     return reader.option("multiLine", True).json(path) if json else reader.parquet(path)
 
@@ -43,7 +56,7 @@ def read_events(spark: SparkSession, root: str, kind: str, run_date: str) -> Dat
 def collect_metrics(spark: SparkSession, events: str, out: str, run_date: str) -> None:
     """Writes the day's two metric tables; a rerun replaces that day alone."""
     searches, selections = (read_events(spark, events, k, run_date) for k in ("prefix-search", "place-selection"))
-    midnight = F.unix_millis(F.to_timestamp(F.lit(run_date)))
+    midnight = midnight_ms(F.lit(run_date))
     shown = saved(impressions(searches, selections, sessions_before(searches, selections, midnight)))
     day = F.date_sub(F.to_date(F.lit(run_date)), 1)
     for name, rows in (("combo", combo_metrics(shown)), ("place", place_metrics(shown))):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import AMENITY, BLEND, DESTINATIONS, EARTH_M, LEISURE, NEAR_M, RELIGION, SHOP, TOURISM, USABLE_CATEGORIES
 from ..functions.geo import CELL_LAT, CELL_LON, grid_col, grid_row, haversine_m
 from ..functions.text import normalize_name
+from ..functions.time import midnight_ms
 from ..operators import metrics as m
 from ..operators import prefix_index as ix
 from ..operators import resolve as rs
@@ -32,7 +33,7 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-def scan_poi_bbox(spark: SparkSession, d: str) -> DataFrame:  # A1 C1-C5 C14 C15 H1
+def scan_poi_bbox(spark: SparkSession, d: str) -> DataFrame:  # C1 C3a C4 C5
     p = fx.pois(spark, d)
     nested = p.select(
         F.col("source_id").alias("id"), F.struct(F.col("name").alias("primary"), F.lit(None).cast("array<struct<language:string,value:string>>").alias("rules")).alias("names"), F.struct(F.col("category").alias("primary")).alias("categories"), "confidence",
@@ -46,7 +47,7 @@ def osm_category_rules(spark, d):  # C7-C9
     return rows.select("id", osm.category(F.col("tags")).alias("category")).where("category is not null")
 
 
-def alias_derivation(spark, d):  # C10 C11 I10
+def alias_derivation(spark, d):  # C10 I10
     rows = fx.tag_rows(spark, d)
     return rows.select("id", F.posexplode(osm.aliases(F.col("tags"), F.col("tags")["name"])).alias("pos", "alias"))
 
@@ -99,8 +100,8 @@ def _shown(spark, d, kept=None):
     return m.impressions(s, c, kept)
 
 
-def session_filter(spark, d):  # E3 C16 C21 D7
-    kept = m.sessions_before(fx.searches(spark, d), fx.selections(spark, d), F.unix_millis(F.to_timestamp(F.lit(MIDNIGHT))))
+def session_filter(spark, d):  # E3 C21
+    kept = m.sessions_before(fx.searches(spark, d), fx.selections(spark, d), midnight_ms(F.lit(MIDNIGHT)))
     return kept.select("sessionId", "startMs")
 
 
@@ -145,7 +146,7 @@ def blended_scores(spark, d):  # I5-I7 E9 D4-D6 J2
     return _blended(spark, d).select("prefix", "id", "score")
 
 
-def prefix_topk_blended(spark, d):  # J4 F4
+def prefix_topk_blended(spark, d):  # J2 F4
     return ix.top_places(_blended(spark, d), 10)
 
 
@@ -155,9 +156,9 @@ def search_prefix(spark, d):  # K1 D9 D10 I3 I4 G4 F5 C18
     return found.select("request_id", "rank", "id", "display_name", _r("score").alias("score"))
 
 
-def place_details(spark, d):  # K2 A10
-    places = _merged(spark, d)
-    return places.where("display_name like '%3'").select("id", "display_name", _r("seedScore").alias("seed_score"), F.size("sources").alias("n_sources"))
+def place_details(spark, d):  # K2
+    places = saved(_merged(spark, d))
+    return serve.details_batch(places.select("id"), places).select("id", "display_name", _r("seedScore").alias("seed_score"), F.size("sources").alias("n_sources"))
 
 
 def event_landing_partitions(spark, d):  # B2 I14 L4 L5
@@ -193,8 +194,130 @@ def snapshot_roundtrip(spark, d):  # B5 B6 A8 A9 J6 L9
     return handle.current.select("prefix", F.posexplode("places").alias("rank", "p")).select("prefix", (F.col("rank") + 1).alias("rank"), "p.id", "p.score")
 
 
+def _folder(spark) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/wayfold/{uuid.uuid4().hex}"
+
+
+#: The corners of two boxes that meet, one the wrong way round.
+BOXES = [(-74.10, 40.55, -73.90, 40.75), (-73.95, 40.85, -74.20, 40.70)]
+CITY = "theme=places/type=place"
+
+
+class _Broken:
+    def fetch(self, spark, boxes):
+        return spark.read.parquet(f"{_folder(spark)}/nothing")
+
+
+def source_scan(spark, d):  # A1 A3 C1-C7 C10-C15 H1-H3
+    """Two written sources and one that fails: nested Parquet in a partitioned folder, and two extracts of tagged nodes."""
+    from ..sources.overture import OvertureSource
+    from ..sources.protocol import fetch_all
+
+    root = _folder(spark)
+    p = fx.pois(spark, d).withColumn("k", F.substring_index("source_id", "-", -1).cast("long"))
+    k, half, text = F.col("k"), F.lit(0.0005), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    rule = lambda language, value: F.struct(F.lit(language).cast("string").alias("language"), value.alias("value"))
+    title = F.when(k % 10 == 9, F.lit(" ")).otherwise(F.col("name"))
+    rules = F.array(rule("fr", F.lit("non")), rule(None, text(F.col("name"), "; also ")), rule("en", F.lit("en " ";")), rule("en", F.lit(None).cast("string")))
+    nested = p.where("source = 'OVERTURE'").select(
+        F.col("source_id").alias("id"), F.struct(title.alias("primary"), F.when(k % 2 == 0, rules).alias("rules")).alias("names"), F.struct(F.col("category").alias("primary")).alias("categories"), F.when(k % 4 > 0, F.col("confidence")).alias("confidence"),
+        F.struct(F.col("lon").alias("xmin"), (F.col("lon") + half).alias("xmax"), F.col("lat").alias("ymin"), (F.col("lat") + half).alias("ymax")).alias("bbox"), F.when(k % 5 > 0, F.array_repeat(F.struct(F.lit("x").alias("dataset")), (k % 5).cast("int"))).alias("sources"),
+        F.when(k % 2 == 0, F.array().cast("array<string>")).alias("websites"), F.when(k % 3 == 0, F.array(F.lit("s"))).alias("socials"), F.struct(F.when(k % 11 == 0, F.lit("Q1")).alias("wikidata")).alias("brand"),
+    )
+    nested.write.parquet(f"{root}/ov/{CITY}")
+    nested.limit(0).write.parquet(f"{root}/ov/theme=other/type=none")
+    tags = F.map_filter(F.create_map(*[x for n, v in {"name": title, "amenity": F.when(k % 4 == 1, F.lit("bar")).when(k % 4 == 2, F.lit("cafe")), "historic": F.when(k % 4 == 3, F.lit("ruins")), "alt_name": text(F.col("name"), "; also"), "wikidata": F.when(k % 11 == 0, F.lit("Q1")), "website": F.when(k % 2 == 0, F.lit("w"))}.items() for x in (F.lit(n), v)]), lambda a, b: b.isNotNull())
+    nodes = p.where("source = 'OSM'").select(k.alias("id"), F.when(k % 7 == 3, F.lit("way")).otherwise(F.lit("node")).alias("kind"), "lat", "lon", tags.alias("tags"))
+    for part in range(2):
+        nodes.where(k % 2 == part).write.parquet(f"{root}/osm{part}")
+    sources = [OvertureSource(f"{root}/ov/{CITY}", f"{root}/ov"), _Broken(), osm.OsmSource([f"{root}/osm0", f"{root}/osm1"], "parquet")]
+    found = fetch_all(spark, sources, BOXES)
+    return found.select("source_id", "name", F.array_join("aliases", "|").alias("aliases"), "category", _r("confidence").alias("confidence"), _r("lat").alias("lat"), _r("lon").alias("lon"), "source", F.col("sourceSignalCount").alias("signals"), F.col("hasWikiEntry").alias("wiki"), F.col("hasWebPresence").alias("web"))
+
+
+def _landed(spark, d) -> str:
+    """The folder of all events, landed by the stream, with a line that is no JSON and a blank one."""
+    from ..streaming.landing import emit, file_events, land
+
+    root = _folder(spark)
+    emit(fx.searches(spark, d).drop("date"), "prefix-search", root=f"{root}/in")
+    emit(fx.selections(spark, d).drop("date"), "place-selection", root=f"{root}/in")
+    land(file_events(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+    for kind in ("prefix-search", "place-selection"):
+        bad = spark.createDataFrame([("{broken",), ("",)], "value string")
+        bad.coalesce(1).write.mode("append").text(f"{root}/out/event_type={kind}/date=2024-01-15/hour=07")
+    return root
+
+
+def _daily_tables(spark, d, days) -> str:
+    from . import dataset
+
+    root = _landed(spark, d)
+    for run_date in days:
+        dataset.collect_metrics(spark, f"{root}/out", f"{root}/metrics", run_date)
+    return root
+
+
+def daily_combo_metrics(spark, d):  # A6 A7 B4 C16 C20 D7 H4 L7 I15 M3
+    root = _daily_tables(spark, d, ["2024-01-16"])
+    rows = spark.read.parquet(f"{root}/metrics/combo")
+    return rows.withColumns({"date": F.col("date").cast("string"), "sumReciprocalRank": _r("sumReciprocalRank")})
+
+
+def daily_place_metrics(spark, d):  # the same for places, after a rerun of the day (B4)
+    root = _daily_tables(spark, d, ["2024-01-15", "2024-01-16", "2024-01-16"])
+    return spark.read.parquet(f"{root}/metrics/place").withColumn("date", F.col("date").cast("string"))
+
+
+def _named_places(spark):
+    """Forty merged places p0..p39 whose names begin with the sessions' prefixes."""
+    n = F.col("id")
+    blank = F.array().cast("array<string>")
+    return spark.range(40).select(
+        F.concat(F.lit("p"), n.cast("string")).alias("id"), F.concat(F.lit("ABC-def-"), F.chr(F.lit(103) + n % 3)).alias("display_name"), blank.alias("normalizedAliases"), F.array(F.lit("cafe")).alias("categories"), F.lit(1.0).alias("confidence"),
+        F.lit(40.7).alias("lat"), F.lit(-74.0).alias("lng"), F.array(F.lit("OSM")).alias("sources"), (n * 0.5).alias("seedScore"),
+    )
+
+
+def rebuild_index(spark, d):  # A4 A9 A13 B1 B5 B6 E10 E13 J4 K4
+    from . import dataset
+
+    root = _daily_tables(spark, d, ["2024-01-15", "2024-01-16", "2024-01-17"])
+    dataset.write_places(_named_places(spark), f"{root}/places", json=True)
+    places = dataset.read_places(spark, f"{root}/places_json", json=True)
+    dataset.rebuild(spark, places, f"{root}/metrics", f"{root}/snapshots", "2024-01-17", "r1", days=2)
+    handle = snapshot.IndexHandle(spark, f"{root}/snapshots")
+    handle.refresh()
+    return handle.current.select("prefix", F.explode("places").alias("p")).select("prefix", "p.id", _r(F.col("p.score")).alias("score"))
+
+
+def seed_bootstrap(spark, d):  # A14: metrics that know nothing yet give capped popularity
+    index = ix.bootstrap_index(_named_places(spark))
+    return index.select("prefix", F.explode("places").alias("p")).select("prefix", "p.id", _r(F.col("p.score")).alias("score"))
+
+
+def place_lookup(spark, d):  # A10 B8
+    from . import store
+
+    root = _folder(spark)
+    store.put(_merged(spark, d), f"{root}/store")
+    every = spark.read.parquet(f"{root}/store").select("id")
+    ids = every.unionByName(every).unionByName(spark.createDataFrame([("no such place",)], "id string"))
+    return store.get_many(ids, f"{root}/store").select("id", "display_name", _r("lat").alias("lat"), _r("lng").alias("lng"), F.array_join("sources", ";").alias("sources"))
+
+
+def named_functions(spark, d):  # M5
+    from ..functions.registry import register
+
+    register(spark)
+    fx.pois(spark, d).createOrReplaceTempView("wayfold_pois")
+    return spark.sql("SELECT source_id, grid_row(lat) AS grid_row, grid_col(lon) AS grid_col, round(haversine_m(lat, lon, 40.7D, -74.0D), 6) AS metres, is_near(haversine_m(lat, lon, 40.7D, -74.0D)) AS near FROM wayfold_pois")
+
+
 def queries() -> dict:
-    names = "scan_poi_bbox osm_category_rules alias_derivation normalize_names grid_cells haversine_pairs name_match_pairs clusters merged_pois prefix_explode prefix_topk_seed session_filter combo_metrics place_metrics prefix_totals window_merge_sum window_merge_oldest blended_scores prefix_topk_blended search_prefix place_details event_landing_partitions landed_stream_counts snapshot_roundtrip"
+    names = "scan_poi_bbox osm_category_rules alias_derivation normalize_names grid_cells haversine_pairs name_match_pairs clusters merged_pois prefix_explode prefix_topk_seed session_filter combo_metrics place_metrics prefix_totals window_merge_sum window_merge_oldest blended_scores prefix_topk_blended search_prefix place_details event_landing_partitions landed_stream_counts snapshot_roundtrip source_scan daily_combo_metrics daily_place_metrics rebuild_index seed_bootstrap place_lookup named_functions"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -268,6 +391,25 @@ scores AS (SELECT prefix, id, round(CASE WHEN coalesce(impressions, 0) = 0 THEN
 _REQUESTS = "requests AS (SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, '{r[1]}', {r[2]}, {r[3]}, {r[4]})" for r in REQUESTS) + ") AS v(request_id, prefix, top_k, lat, lng))"
 
 
+def _of_days(first: str, last: str) -> str:
+    """The session tables of the days between, which whole sessions lie in."""
+    return _SHOWN.replace("FROM searches s LEFT JOIN", f"FROM (SELECT * FROM searches WHERE date BETWEEN DATE '{first}' AND DATE '{last}') s LEFT JOIN")
+
+
+_NAMED_SEEDS = "seeds AS (SELECT DISTINCT substr(name, 1, CAST(k AS INT)) AS prefix, id, seed FROM (SELECT 'abcdef' || chr(CAST(103 + i % 3 AS INT)) AS name, 'p' || CAST(i AS STRING) AS id, i * CAST(0.5 AS DOUBLE) AS seed FROM (SELECT unnest(range(0, 40)) AS i)) CROSS JOIN (SELECT unnest(range(1, 8)) AS k))"
+_REBUILT = f"{_of_days('2024-01-15', '2024-01-16')},\n{_NAMED_SEEDS},\n" + _BLENDED[_BLENDED.index("parts AS") :]
+
+
+def _scan_sql() -> str:
+    boxes = [(min(a, c), min(b, e), max(a, c), max(b, e)) for a, b, c, e in BOXES]
+    inside = lambda wide: "(" + " OR ".join(f"(lon >= CAST({a} AS DOUBLE) AND lon{wide} <= CAST({c} AS DOUBLE) AND lat >= CAST({b} AS DOUBLE) AND lat{wide} <= CAST({e} AS DOUBLE))" for a, b, c, e in boxes) + ")"
+    tagged = f"CASE p_partkey % 4 WHEN 1 THEN '{AMENITY['bar']}' WHEN 2 THEN '{AMENITY['cafe']}' WHEN 3 THEN 'landmark_and_historical_building' END"
+    return f"""WITH {_PLACES} SELECT split_part(rid, ':', 2) AS source_id, name, CASE p_partkey % 2 WHEN 0 THEN name || '|also|en' ELSE '' END AS aliases, category, CASE WHEN p_partkey % 4 > 0 THEN round(confidence, 6) ELSE 0 END AS confidence,
+  round(lat, 6) AS lat, round(lon, 6) AS lon, source, CAST(p_partkey % 5 AS INT) AS signals, p_partkey % 11 = 0 AS wiki, p_partkey % 2 = 0 OR p_partkey % 3 = 0 AS web
+  FROM places WHERE source = 'OVERTURE' AND p_partkey % 10 <> 9 AND category IN {_in(USABLE_CATEGORIES)} AND {inside(" + CAST(0.0005 AS DOUBLE)")}
+UNION ALL SELECT CAST(p_partkey AS STRING), name, 'also', {tagged}, 1, round(lat, 6), round(lon, 6), source, 1, wiki, web FROM places WHERE source = 'OSM' AND p_partkey % 10 <> 9 AND p_partkey % 7 <> 3 AND p_partkey % 4 <> 0 AND {inside("")}"""
+
+
 def oracle_sql() -> dict[str, str]:
     a, b, c, e = BOX
     tags = f"tags AS ({fx.duck_sql(fx.TAGS)})"
@@ -299,8 +441,15 @@ def oracle_sql() -> dict[str, str]:
 hits AS (SELECT request_id, top_k, m.id, display_name, score AS behaviour, {_H.format(a="r", b="m", lon="lng")} AS h FROM requests r JOIN raw_top t ON {_NORM.format(x="r.prefix")} = t.prefix JOIN merged m ON t.id = m.id),
 blend AS (SELECT *, 0.7 * behaviour + 0.3 * exp(-({_HAV}) / 2000) AS score FROM hits)
 SELECT request_id, rank, id, display_name, score FROM (SELECT CAST(request_id AS BIGINT) AS request_id, top_k, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS INT) AS rank, id, display_name, round(score, 6) AS score FROM blend) WHERE rank <= top_k""",
-        "place_details": f"WITH RECURSIVE {_MERGED} SELECT id, display_name, round(seed_score, 6) AS seed_score, CAST(n_sources AS INT) AS n_sources FROM merged WHERE display_name LIKE '%3'",
+        "place_details": f"WITH RECURSIVE {_MERGED} SELECT id, display_name, round(seed_score, 6) AS seed_score, CAST(n_sources AS INT) AS n_sources FROM merged",
         "event_landing_partitions": "SELECT CASE event_type WHEN 'purchase' THEN 'place-selection' ELSE 'prefix-search' END AS event_type, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, count(*) AS n FROM events GROUP BY ALL",
         "landed_stream_counts": "SELECT CASE event_type WHEN 'purchase' THEN 'place-selection' ELSE 'prefix-search' END AS event_type, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY ALL",
+        "source_scan": _scan_sql(),
+        "daily_combo_metrics": f"WITH {_of_days('2024-01-15', '2024-01-15')} SELECT * REPLACE (round(sumReciprocalRank, 6) AS sumReciprocalRank), '2024-01-15' AS date FROM combos",
+        "daily_place_metrics": f"WITH {_of_days('2024-01-14', '2024-01-14')} SELECT *, '2024-01-14' AS date FROM by_place UNION ALL SELECT * FROM (WITH {_of_days('2024-01-15', '2024-01-15')} SELECT *, '2024-01-15' AS date FROM by_place)",
+        "rebuild_index": f"WITH {_REBUILT} SELECT prefix, id, score FROM scores",
+        "seed_bootstrap": f"WITH {_NAMED_SEEDS} SELECT prefix, id, round(least(seed / 10, 1.0), 6) AS score FROM seeds",
+        "place_lookup": f"WITH RECURSIVE {_MERGED} SELECT id, display_name, round(lat, 6) AS lat, round(lng, 6) AS lng, sources FROM merged",
+        "named_functions": f"WITH {_PLACES}, here AS (SELECT CAST(40.7 AS DOUBLE) AS lat, CAST(-74.0 AS DOUBLE) AS lon), far AS (SELECT p.*, {_H.format(a="p", b="here", lon="lon")} AS h FROM places p CROSS JOIN here) SELECT split_part(rid, ':', 2) AS source_id, CAST(floor(lat / CAST({CELL_LAT!r} AS DOUBLE)) AS INT) AS grid_row, CAST(floor(lon / CAST({CELL_LON!r} AS DOUBLE)) AS INT) AS grid_col, round({_HAV}, 6) AS metres, {_HAV} <= {NEAR_M} AS near FROM far",
         "snapshot_roundtrip": f"WITH RECURSIVE {_PREFIX} SELECT prefix, CAST(rank AS INT) AS rank, id, score FROM top",
     }

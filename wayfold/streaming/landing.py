@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import FLUSH_ROWS
+from ..functions.time import utc_date, utc_hour
 
 TOPICS = ("prefix-search", "place-selection")
 
@@ -25,9 +29,8 @@ def file_events(spark: SparkSession, root: str, files_per_trigger: int = 16) ->
 def to_landed(events: DataFrame) -> DataFrame:
     """Rows that are JSON objects, with the UTC date and hour of each row's own timestamp, or of now."""
     ms = F.coalesce(F.get_json_object("value", "$.timestampMs").try_cast("long"), F.unix_millis(F.current_timestamp()))
-    at = F.timestamp_millis(ms)
     whole = events.where(F.get_json_object("value", "$.sessionId").isNotNull())
-    return whole.select("value", "event_type", F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"))
+    return whole.select("value", "event_type", utc_date(ms).alias("date"), utc_hour(ms).alias("hour"))
 
 
 def land(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -36,6 +39,24 @@ def land(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> St
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start(out)
 
 
+def stop(query: StreamingQuery, wait_s: float = 30.0) -> None:
+    """Stops a landing between two batches: waits for a running one, so its rows are written once and its offsets kept."""
+    end = time.time() + wait_s
+    while query.isActive and query.status["isTriggerActive"] and time.time() < end:
+        time.sleep(0.1)
+    query.stop()
+
+
+def emit_quietly(rows: DataFrame, topic: str, servers: str | None = None, root: str | None = None) -> bool:
+    """``emit``, for callers whose answer must not depend on it: a failure is logged, not raised."""
+    try:
+        emit(rows, topic, servers, root)
+    except Exception as e:  # whatever the sink says, the caller goes on
+        logging.getLogger(__name__).warning("event to %s not sent: %s", topic, e)
+        return False
+    return True
+
+
 def emit(rows: DataFrame, topic: str, servers: str | None = None, root: str | None = None) -> None:
     """Sends events keyed by session to Kafka, or as files that ``file_events`` reads."""
     value = rows.select(F.col("sessionId").alias("key"), F.to_json(F.struct("*")).alias("value"))

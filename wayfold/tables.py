@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,11 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests, a folder of our own."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs on this machine, as in tests, a folder of our own, which goes at the end."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = getattr(spark.sparkContext, "_wayfold_dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.sparkContext._wayfold_dir = path
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("executors of a cluster share no temporary folder: set spark.checkpoint.dir")
+        path = getattr(context, "_wayfold_dir", None)
+        if path is None:
+            folder = tempfile.mkdtemp(prefix="wayfold-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            path = context._wayfold_dir = "file://" + folder
     return path.rstrip("/")
 
 
