@@ -52,3 +52,72 @@ def test_edge_cases(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     same = fingerprints(documents(spark, [(1, "abc" * 100)] * 3 + [(2, "abc" * 100)])).collect()
     assert len(same) == 4 and len({r["fingerprint"] for r in same}) == 1
+
+
+def plain_digest(text, rarity):
+    """Features by the definition: windows that are the rarest of 16 neighbourhoods of 64 windows or more."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    rank = rarity[entropy_classes(raw)]
+    votes = Counter()
+    for i in range(len(rank) - 63):
+        votes[min(range(i, i + 64), key=lambda j: (rank[j], j))] += 1
+    chosen = sorted(i for i, n in votes.items() if n >= 16) or [min(range(len(rank)), key=lambda j: (rank[j], j))]
+    return list(dict.fromkeys(bytes(raw[i : i + WINDOW]) for i in chosen))
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if (sum(n for n, _ in a), len(a)) > (sum(n for n, _ in b), len(b)):
+        a, b = b, a
+    best = []
+    for n, x in a:
+        got = []
+        for _, y in b:
+            chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+            got.append(max(0.0, min(1.0, (len(x & y) - chance) / max(most - chance, 1e-9))))
+        best.append(n * max(got))
+    return sum(best) / sum(n for n, _ in a)
+
+
+def parse(form):
+    import base64
+
+    out = []
+    for part in form.split("|") if form else []:
+        n, bits = part.split(":")
+        out.append((int(n), frozenset(np.flatnonzero(np.unpackbits(np.frombuffer(base64.b64decode(bits), np.uint8))).tolist())))
+    return out
+
+
+def test_digests_and_likeness_as_defined(spark):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcdefgh .\n") for _ in range(rnd.choice([70, 400, 3000, 30_000])))) for i in range(10)]
+    rows += [(10, rows[3][1][:2000] + rows[4][1]), (11, rows[3][1])]
+    docs = documents(spark, rows)
+    from wayfold.llm.fingerprint import class_counts
+
+    total = np.zeros(LEVELS, np.int64)
+    for _, t in rows:
+        total += np.bincount(entropy_classes(np.frombuffer(t.encode(), np.uint8)), minlength=LEVELS)
+    assert class_counts(docs).tolist() == total.tolist()
+    rarity = np.empty(LEVELS, np.int64)
+    rarity[np.lexsort((np.arange(LEVELS), total))] = np.arange(LEVELS)
+    got = {r["doc_id"]: r for r in fingerprints(docs).collect()}
+    order = sorted(rows, reverse=True)
+    for (d, t), (e, _) in zip(order, order[1:] + order[:1]):
+        r = got[d]
+        own, changed, following = parse(r["fingerprint"]), parse(r["edited_fingerprint"]), parse(got[e]["fingerprint"])
+        assert sum(n for n, _ in own) == len(plain_digest(t, rarity))
+        assert abs(r["near_edited"] - plain_likeness(own, changed)) < 1e-6 and abs(r["near_next"] - plain_likeness(own, following)) < 1e-6
+        want = features([t.encode()], rarity)[0]
+        windows = plain_digest(t, rarity)
+        assert len(want) == len(windows) == len(set(windows))
+    assert got[3]["fingerprint"] == got[11]["fingerprint"]
+
+
+def test_null_ids_and_other_columns(spark):
+    rows = [(None, f"text without an id {i} " * 5) for i in range(50)] + [(None, None), (1, "x"), (1, "x")]
+    docs = documents(spark, rows).withColumnsRenamed({"lang": "block", "source": "tie"})
+    got = fingerprints(docs, block=8).collect()
+    assert len(got) == len(rows) and len({r["edited_sha256"] for r in got}) >= 50

@@ -12,7 +12,7 @@ the filters of the one with fewer features, weighted by features, of each one's
 A fingerprint is the filters in order, each ``features:base64``, joined by ``|``; that of an empty text is empty. Empty texts are alike (1) and unlike any other (0).
 
 Cases: a null text is empty; rows are ordered by descending doc_id, then by a hash of the text (so repeated rows
-are neighbours), null ids last; other columns are not looked at; one row is its own next; an empty table gives an empty result.
+are neighbours), null ids last (dealt by ranges of that hash); beyond ten million rows blocks grow instead of becoming more, and as they are streamed, only tasks get longer; other columns are not looked at; one row is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -184,8 +184,11 @@ def fingerprints(docs: DataFrame, block: int = 1_000, id_col: str = "doc_id", te
     cuts = [int(c) for c in cuts]
     # block 0 has the greatest ids; nulls come last
     edges = F.array(*[F.lit(c) for c in reversed(cuts)]).cast("array<long>") if cuts else F.array().cast("array<long>")
-    block_of = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(edges, lambda c: c >= F.col("doc_id")))).cast("int")
-    rows = rows.withColumn("block", block_of).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    nulls = rows.where("doc_id is null").count()
+    by_tie = F.floor((F.col("tie") / 2.0**64 + 0.5) * F.lit(int(min(10_000, max(1, nulls // block)))))
+    block_of = F.when(F.col("doc_id").isNull(), by_tie + len(cuts) + 1).otherwise(F.size(F.filter(edges, lambda c: c >= F.col("doc_id")))).cast("int")
+    rows = rows.select("doc_id", "text", block_of.cast("int").alias("block"), "tie")
     heads = rows.groupBy("block").agg(F.min(F.struct(-F.col("doc_id"), F.col("tie"))).alias("h")).collect()
     order = sorted(heads, key=lambda r: r["block"])
     back = {order[i]["block"]: order[i - 1]["block"] for i in range(len(order))}  # the first block's head closes the ring
