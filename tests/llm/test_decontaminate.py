@@ -54,3 +54,22 @@ def test_empty(spark):
     assert leaks(documents(spark, [(1, "a")]), none).collect() == []
     assert leaks(documents(spark, []), none).collect() == []
     assert decontaminated(documents(spark, [(1, "a")]), none).count() == 1
+
+
+def test_places_and_blocks(spark):
+    """start and end delimit a piece of the least distance, whatever the number of blocks."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(8)]
+    rows = [(d, " ".join([word() for _ in range(d)] + [items[d % 8][1].replace("a", "x", d % 4)] + [word() for _ in range(5)])) for d in range(24)]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, leaks(docs, bench, block_chars=n).collect())) for n in (10**6, 150))
+    assert one == many and len(one) >= 20
+    text, known = dict(rows), dict(items)
+    for d, i, n, start, end in one:
+        piece = normal(text[d])[start:end]
+        assert n == distance(normal(known[i]), normal(text[d])) == distance(normal(known[i]), piece)
+    few = sorted(r["doc_id"] for r in decontaminated(docs, bench, block_chars=150).collect())
+    assert few == sorted(set(dict(rows)) - {x[0] for x in one})
+    extra = docs.withColumn("item_id", docs["doc_id"]).withColumnRenamed("lang", "distance")
+    assert decontaminated(extra, bench).columns == extra.columns

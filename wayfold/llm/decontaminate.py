@@ -5,7 +5,7 @@ wherever the item does; the pieces of all items are found by one Aho-Corasick sc
 verified by Myers' bit-parallel distance (J. ACM, 1999). Texts and items are compared in lower case with runs of white space as one space.
 
 Items are taken in blocks of at most ``block_chars`` characters, whose automaton each worker builds: its size is bound by that
-parameter, and a larger benchmark costs more scans, not more memory.
+parameter. With several blocks, each one's result is written before the next block is read, and its broadcast is removed: a larger benchmark costs more scans, not more memory, on the driver either.
 
 Cases: a null or empty text or item matches nothing; equal items or rows are each reported; a null id stays null; other columns are
 not looked at; an empty table gives an empty result. An item shorter than ``1 / error_rate`` characters must occur unchanged.
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -101,13 +103,12 @@ class Finder:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int):
-    """Lists of (id, text), each of about ``block_chars`` characters at most."""
+    """Whether there are several, and lists of (id, text), each of about ``block_chars`` characters at most, one after the other."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
     n = -(-total // block_chars)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n))))
-    for b in range(n):
-        yield [(r["id"], r["text"]) for r in rows.where(F.col("block") == b).collect()]
+    return n > 1, ([(r["id"], r["text"]) for r in rows.where(F.col("block") == b).collect()] for b in range(n))
 
 
 def leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -116,7 +117,8 @@ def leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, block_cha
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, start long, end long"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_id_col, item_text_col, block_chars):
+    several, blocks = _blocks(items, item_id_col, item_text_col, block_chars)
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
 
         def scan(batches, shared=shared):
@@ -129,7 +131,11 @@ def leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, block_cha
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "distance", "start", "end"])
 
-        out = out.union(rows.mapInArrow(scan, schema))
+        found = rows.mapInArrow(scan, schema)
+        if several:
+            found = saved(found)
+            shared.destroy()
+        out = out.union(found)
     return out
 
 
@@ -137,7 +143,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05,
     """``docs`` without the rows whose text holds a benchmark item. Rows keep all their columns."""
     spark = docs.sparkSession
     kept, schema, names = docs, docs.schema, docs.columns
-    for block in _blocks(items, item_id_col, item_text_col, block_chars):
+    several, blocks = _blocks(items, item_id_col, item_text_col, block_chars)
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
 
         def scan(batches, shared=shared):
@@ -147,4 +154,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05,
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(scan, schema)
+        if several:
+            kept = saved(kept)
+            shared.destroy()
     return kept
