@@ -5,8 +5,8 @@ statistics and a histogram of hashed character pairs. The network is e = tanh(W
 w . (tanh(V e) * sigmoid(U e)) over the document's passages, and a logistic score of the attended sum; all of it is
 learned from document labels alone, by Adam on whole batches from a fixed start.
 
-Training takes at most ``sample`` labelled rows (a documented bound; 6,000), and of a document at most 64 evenly spread passages.
-Scoring encodes every passage of every document.
+Training takes at most ``sample`` labelled documents (a documented bound; 6,000) with all their passages, and at most ``passages`` passages altogether (60,000; a bound of the driver's memory): documents
+come in the order of a hash of their text, and one whose passages are too many for what is left is passed over. Scoring encodes every passage of every document.
 
 Cases: a null or empty text is one empty passage; without both labels every score is the share of label 1 (1 if there are no labels, so that nothing is
 rejected); rows are scored one by one, so ties and repeated rows score alike; a doc_id with several labels counts as 1 if one is 1; null labels are not used;
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .hashing import BASES, mix, runs
 from .toxicity import training_rows
 
@@ -140,7 +141,7 @@ def _runs(column, limit: int = 1 << 19):
         yield run
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6_000, most_passages: int = 64, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6_000, passages: int = 60_000, id_col: str = "doc_id", text_col: str = "text") -> dict:
     def vectors(batches):
         for batch in batches:
             got, y = [], batch.column(1).to_pylist()
@@ -148,12 +149,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
                 x, counts = encode(run)
                 at = 0
                 for c in counts:
-                    some = x[at : at + c]
+                    got.append(x[at : at + c].tobytes())
                     at += c
-                    got.append((some if c <= most_passages else some[np.linspace(0, c - 1, most_passages).astype(int)]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(y, pa.int32())], ["x", "y"])
 
-    rows = training_rows(docs, labels, label_col, sample, id_col, text_col).mapInArrow(vectors, "x binary, y int").collect()
+    train = saved(training_rows(docs, labels, label_col, sample, id_col, text_col))
+    left, last, chosen = passages, None, []
+    for r in train.select(F.xxhash64("text").alias("h"), F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("text", F.lit(""))) / PASSAGE)).alias("n")).orderBy("h", "n").collect():  # ``sample`` rows at most
+        if r["n"] <= left:
+            left -= r["n"]
+            if r["h"] != last:
+                chosen.append((r["h"],))
+            last = r["h"]
+    some = docs.sparkSession.createDataFrame(chosen, "h long")
+    train = train.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), "h", "left_semi").select("text", "y")
+    rows = train.mapInArrow(vectors, "x binary, y int").collect()
     rows = sorted(((bytes(r["x"]), r["y"]) for r in rows))  # the same model whatever task ends first
     y = np.array([float(r[1] == 1) for r in rows])
     if not len(y) or y.min() == y.max():

@@ -1,11 +1,13 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lowers the case, maps homoglyphs to Latin letters, digits and signs that stand for letters to these, and what is no letter to a space.
-The lexicon holds word beginnings (stems) with the log-odds of documents that have them, learned from labelled rows;
-an entry matches at a word's start, the longest entry counts, and matches inside an exception phrase don't. The weights' sum and
+Folding lowers the case, takes compatibility forms and letters without their accents, drops marks and signs without width, maps homoglyphs to Latin letters, digits and signs that stand
+for letters to these, and what is no letter to a space.
+The lexicon holds word beginnings (stems) of four to ten letters, and whole words of up to three, with the log-odds of documents that have them, learned from labelled rows: all that pass a test of significance.
+An entry matches at a word's start (in scripts without spaces, at the start of a run), the longest entry counts, and matches inside an exception phrase don't. Exception phrases are learned too: an entry's word with
+the word before or after it, if the two together speak for label 0; the caller can give more. The weights' sum and
 the sum for every thousand words (the length normalisation) enter a two-term logistic calibration, fitted on the same rows.
 
-Training takes at most ``sample`` labelled rows, chosen by a hash of doc_id (a documented bound; 20,000); everything is scored.
+Training takes at most ``sample`` labelled documents, chosen by a hash of doc_id (a documented bound; 20,000); of a doc_id on several rows one text is taken, that with the least hash. Everything is scored.
 
 Cases: a null text is empty, and gets the score of a text without a match; without usable labels every score is the share of label 1
 (0 if there is none); rows are scored one by one, so ties and repeated rows score alike; a doc_id with several labels counts as 1 if one is 1; null labels are not used;
@@ -15,8 +17,11 @@ other columns are not looked at; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,6 @@ from .common import saved
 # Look-alike letters, and digits and signs that stand for letters.
 HOMOGLYPHS = ("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwabekmhopctyxijsaeiknoptuxabezhikmnoptyx")
 SUBSTITUTES = ("013457@$", "oieastas")
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "sore loser")
 
 
 class _Fold(dict):
@@ -39,10 +43,12 @@ class _Fold(dict):
         for old, new in (HOMOGLYPHS, SUBSTITUTES):
             if c in old:
                 c = new[old.index(c)]
-        if 0xFF01 <= code <= 0xFF5E:
-            c = chr(code - 0xFEE0)
-        c = c.lower()
-        self[code] = out = c if c.isalpha() else " "
+        c = unicodedata.normalize("NFKD", c).lower()
+        if all(unicodedata.category(x) in ("Cf", "Mn", "Me") for x in c):
+            out = ""
+        else:
+            out = "".join(x for x in c if x.isalpha()) or " "
+        self[code] = out
         return out
 
 
@@ -54,11 +60,13 @@ def fold(text: str | None) -> str:
 
 
 def stems(text: str, shortest: int = 4, longest: int = 10) -> set[str]:
-    """Words and their beginnings."""
+    """Words' beginnings, and short words as such, with a space behind."""
     out = set()
     for w in set(fold(text).split()):
         if len(w) >= shortest:
             out.update(w[:k] for k in range(shortest, min(len(w), longest) + 1))
+        else:
+            out.add(w + " ")
     return out
 
 
@@ -70,7 +78,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, sample: in
     """(text, y) of at most ``sample`` labelled documents outside the held-out fifth; so few label rows may be broadcast."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "y")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    return rows.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
 
 
 @lru_cache(maxsize=4)
@@ -94,17 +103,29 @@ def evidence(text: str | None, lexicon: tuple, exceptions: tuple) -> tuple[float
     words = fold(text).split()
     if not len(a) or not words:
         return 0.0, 0.0
-    best, free = {}, []
+    best, free = _matches(a, words)
+    total = sum(w for at, w in best.items() if not _inside(free, at))
+    return total, 1000.0 * total / max(100, len(words))
+
+
+def _matches(a, words: list[str]) -> tuple[dict[int, float], tuple[list[int], list[int]]]:
+    """Weights by the place of the space before the entry; the starts of the exception phrases, and the furthest end of each and all before it."""
+    best, starts = {}, {}
     for end, (n, weight) in a.iter(f" {' '.join(words)} "):
         if weight is None:
-            free.append((end - n + 1, end))
+            starts[end - n + 1] = max(end, starts.get(end - n + 1, 0))
         else:
             best[end - n + 1] = weight  # a longer entry ends later
-    total = sum(w for at, w in best.items() if not any(lo <= at < hi for lo, hi in free))
-    return total, 1000.0 * total / max(100, len(words))
+    order = sorted(starts)
+    return best, (order, list(accumulate((starts[x] for x in order), max)))
+
+
+def _inside(free: tuple[list[int], list[int]], at: int) -> bool:
+    k = bisect_right(free[0], at) - 1
+    return k >= 0 and at < free[1][k]
 
 
-def learn_lexicon(train: DataFrame, most: int = 2000, candidates: int = 50_000) -> tuple:
+def learn_lexicon(train: DataFrame) -> tuple:
     """((stem, weight), ...), from (text, y): counts of documents, made by each task and added up."""
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
@@ -124,7 +145,7 @@ def learn_lexicon(train: DataFrame, most: int = 2000, candidates: int = 50_000)
 
     least = max(3, n1 // 1000)
     ones = train.where("y = 1").select("text").mapInArrow(count(), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    ones = {r["stem"]: r["n"] for r in ones.orderBy(F.desc("n"), "stem").limit(candidates).collect()}
+    ones = {r["stem"]: r["n"] for r in ones.collect()}
     only = train.sparkSession.sparkContext.broadcast(set(ones))
     zeros = train.where("y <> 1").select("text").mapInArrow(count(only), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
     zeros = {r["stem"]: r["n"] for r in zeros.collect()}
@@ -144,8 +165,32 @@ def learn_lexicon(train: DataFrame, most: int = 2000, candidates: int = 50_000)
         weight = math.log((p + 0.5) / (n1 + 1)) - math.log((q + 0.5) / (n0 + 1))
         if weight >= 2.0 and gain(p, q) >= 15.0 and not any(stem[:k] in chosen and chosen[stem[:k]] >= weight - 0.7 for k in range(4, len(stem))):
             chosen[stem] = weight
-    top = sorted(chosen, key=lambda s: (-chosen[s] * ones[s], s))[:most]
-    return tuple((s, round(chosen[s], 6)) for s in sorted(top))
+    return tuple((s, round(chosen[s], 6)) for s in sorted(chosen))
+
+
+def learn_exceptions(train: DataFrame, lexicon: tuple, least: int = 5) -> tuple:
+    """Phrases of an entry's word and a neighbour that ``least`` documents of label 0 or more have, and for which the odds of label 1 are a third of the sample's or less."""
+    totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
+    if not lexicon or not n1 or not n0:
+        return ()
+
+    def count(batches):
+        a, found = _automaton(lexicon, ()), Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1)):
+                words = fold(text.as_py()).split()
+                at = np.cumsum([0, *(len(w) + 1 for w in words)])  # of the space before each word
+                phrases = set()
+                for place in _matches(a, words)[0]:
+                    k = int(np.searchsorted(at, place))
+                    phrases.update(" ".join(words[max(0, i) : i + 2]) for i in (k - 1, k) if 0 <= i < len(words) - 1)
+                found.update((p, int(y.as_py() == 1)) for p in phrases)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["phrase", "y", "n"])
+
+    by = train.select("text", "y").mapInArrow(count, "phrase string, y int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("zeros"))
+    some = by.where((F.col("zeros") >= least) & ((F.col("ones") + 0.5) * 3 * n0 <= (F.col("zeros") + 0.5) * n1))
+    return tuple(sorted(r["phrase"] for r in some.collect()))
 
 
 def _terms(total, rate):
@@ -163,9 +208,10 @@ def calibrate(total: np.ndarray, rate: np.ndarray, y: np.ndarray, rounds: int =
     return b.tolist()
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = 20_000, exceptions: tuple = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = 20_000, exceptions: tuple = (), id_col: str = "doc_id", text_col: str = "text") -> dict:
     train = saved(training_rows(docs, labels, label_col, sample, id_col, text_col))
     lexicon = learn_lexicon(train)
+    exceptions = (*exceptions, *learn_exceptions(train, lexicon))
 
     def measure(batches):
         for batch in batches:
