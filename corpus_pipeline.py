@@ -18,6 +18,9 @@ from wayfold.llm.linededup import line_dedup
 from wayfold.llm.packing import pack
 from wayfold.llm.quality import score_quality, train_quality
 
+#: Rows of 16 bytes that may be broadcast (some tens of MB with their hash table).
+FEW_ROWS = 500_000
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,11 +46,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = saved(similarity_groups(docs, shingle=5, threshold=(80, 100)).where("component is not null"))
     first = groups.groupBy("component").agg(F.min(F.struct(*row)).alias("first"))
     several = groups.groupBy("component", *row).agg(F.count("*").alias("n")).join(first, "component")
-    later = several.where(F.struct(*row) != F.col("first")).select(*row)
+    later = saved(several.where(F.struct(*row) != F.col("first")).select(*row))
     equal = several.where((F.struct(*row) == F.col("first")) & (F.col("n") > 1)).select(*row)
     at = free_name(docs.columns, "text_hash")
     keyed = docs.withColumn(at, F.xxhash64("text"))
-    kept = keyed.join(later.withColumnRenamed("text_hash", at), ["doc_id", at], "left_anti")
+    later = later.withColumnRenamed("text_hash", at)
+    if later.count() <= FEW_ROWS:  # else both sides are dealt by row
+        later = F.broadcast(later)
+    kept = keyed.join(later, ["doc_id", at], "left_anti")
     if not equal.isEmpty():
         equal = saved(equal).withColumnRenamed("text_hash", at)
         once = kept.join(equal, ["doc_id", at], "left_semi").dropDuplicates(["doc_id", at])
