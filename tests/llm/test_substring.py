@@ -1,15 +1,23 @@
+import hashlib
 import random
 
+import pytest
 from brute import documents, without_repeats
 
-from wayfold.llm.substring import sha256_hex, substring_dedup
+from wayfold.llm import substring
+from wayfold.llm.substring import substring_dedup
 
+#: Both ways to look anchors up: in the broadcast sketch, and dealt to the blocks of a written one.
+WAYS = pytest.mark.parametrize("most", [28, 0], ids=["broadcast", "dealt"])
 
-def got(spark, rows, window):
-    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], sha256_hex(r["kept"])) for r in substring_dedup(documents(spark, rows), window).collect()), key=str)
 
+def got(spark, rows, window, most=28):
+    out = substring_dedup(documents(spark, rows), window, broadcast_bits=most).collect()
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out), key=str)
 
-def test_as_brute_force(spark):
+
+@WAYS
+def test_as_brute_force(spark, most):
     rnd = random.Random(4)
     vocab = [f"w{i}" for i in range(40)] + ["é", "x\x0b", "\xa0"]
     passages = [[rnd.choice(vocab) for _ in range(rnd.randint(45, 130))] for _ in range(4)]
@@ -19,11 +27,30 @@ def test_as_brute_force(spark):
         for _ in range(rnd.randint(0, 4)):
             words += rnd.choice(passages) if rnd.random() < 0.5 else [rnd.choice(vocab) for _ in range(rnd.randint(0, 60))]
         rows.append((i * 7 % 113, rnd.choice([" ", "\n", "  "]).join(words)))
-    assert got(spark, rows, 50) == sorted(without_repeats(rows, 50), key=str)
+    assert got(spark, rows, 50, most) == sorted(without_repeats(rows, 50), key=str)
 
 
-def test_edge_cases(spark):
+@WAYS
+def test_edge_cases(spark, most):
     long = " ".join(f"t{i % 997}" for i in range(30000))
     rows = [(3, None), (4, ""), (5, "a b"), (9, long), (8, long), (8, long), (None, long), (7, "q " * 200)]
-    assert got(spark, rows, 50) == sorted(without_repeats(rows, 50), key=str)
-    assert got(spark, [], 50) == []
+    assert got(spark, rows, 50, most) == sorted(without_repeats(rows, 50), key=str)
+    assert got(spark, [], 50, most) == []
+
+
+@WAYS
+def test_few_false_hits(spark, most, monkeypatch):
+    """Of windows that do not repeat, few pass, whichever way they are looked up."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(str(rnd.randrange(10**6)) for _ in range(1000))) for i in range(300)]
+    seen = []
+    scan = substring._scan
+    monkeypatch.setattr(substring, "_scan", lambda docs, how, window, want: seen.append((want, scan(docs, how, window, want))) or seen[-1][1])
+    substring_dedup(documents(spark, rows), 50, broadcast_bits=most)
+    assert dict(seen)["windows"].count() < 0.05 * 300 * 951
+
+
+def test_the_sketch_grows_with_the_text():
+    """Five cells or more for each anchor (one in about 78 bytes), at ten times the broadcast bound and far beyond too."""
+    for total in (10**9, 27 * 10**9, 10**14):
+        assert 2 ** substring.sketch_bits(total) >= 5 * total / 78

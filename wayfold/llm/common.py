@@ -76,10 +76,11 @@ def blocks_of(cells: np.ndarray, counts: np.ndarray, row: int) -> Iterator[dict]
 BLOCKS = "line int, block long, low binary, n binary"
 
 
-def merged_bits(partial: DataFrame, least: int) -> DataFrame:
+def merged_bits(partial: DataFrame, least: int, parts: int) -> DataFrame:
     """(line, block, bits): the cells whose counts over all partial blocks reach ``least``.
 
-    The partial blocks are added up in two steps, so that one block's group stays small however many tasks made one."""
+    The partial blocks are added up in two steps, in ``parts`` groups a block first; the root of the number of partial sketches
+    keeps the groups of both steps as small as its root."""
 
     def add(pdf, total=None):
         count = np.zeros(1 << BLOCK_BITS, np.int64)
@@ -99,7 +100,7 @@ def merged_bits(partial: DataFrame, least: int) -> DataFrame:
 
         return pd.DataFrame({"line": [key[0]], "block": [key[1]], "bits": [np.packbits(add(pdf) >= least).tobytes()]})
 
-    part = partial.withColumn("part", F.pmod(F.xxhash64("low"), F.lit(8)))
+    part = partial.withColumn("part", F.pmod(F.xxhash64("low"), F.lit(parts)))
     part = part.groupBy("line", "block", "part").applyInPandas(some, BLOCKS)
     return part.groupBy("line", "block").applyInPandas(last, "line int, block long, bits binary")
 

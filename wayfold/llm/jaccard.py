@@ -366,7 +366,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts_of: DataFrame, k: int, nu
             yield pa.RecordBatch.from_pylist(list(blocks_of(cell, np.ones(len(cell)), 0)), schema=pa.schema([("line", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary())]))
 
     hashes = texts_of.join(nodes, "cls", "left_semi").select("h")
-    wanted = spark.sparkContext.broadcast(gathered_bits(merged_bits(hashes.mapInArrow(cells, BLOCKS), 1), 1, CANDIDATE_BITS))
+    wanted = spark.sparkContext.broadcast(gathered_bits(merged_bits(hashes.mapInArrow(cells, BLOCKS), 1, 8), 1, CANDIDATE_BITS))
 
     def sets(batches):
         bitmap = wanted.value[0]

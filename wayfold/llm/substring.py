@@ -9,8 +9,9 @@ Method: a count-min prefilter and an exact second pass.
    exactly; a window is removed from every document but the one with the smallest doc_id. None is lost: a false
    hit costs a row in the exact pass and changes no result.
 
-The sketch grows with the text up to 2**28 cells a row (32 MB as bits), its proven bound for the broadcast; beyond
-that more windows pass to the exact pass, which stays right.
+The sketch grows with the text, without a bound, so that the share of false hits stays the same. Up to ``broadcast_bits`` (2**28 cells
+a line, 32 MB as bits) it is broadcast. A larger one is never gathered: its blocks are written, the anchors of each document are dealt
+to the blocks of their cells and looked up there, and the anchors found go back to their documents. Both ways pass the same windows.
 
 Cases: a null text is empty; empty texts and texts under ``window`` words lose nothing; a repeated row (equal doc_id) is not
 "smaller" and so removes nothing from its twin; a row with a null doc_id keeps its words and removes nothing; other columns are
@@ -19,21 +20,24 @@ not looked at, so clashing names are harmless; an empty table gives an empty res
 
 from __future__ import annotations
 
-import hashlib
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, bit_at, blocks_of, gathered_bits, longs, merged_bits, slices
+from .common import BLOCK_BITS, BLOCKS, bit_at, blocks_of, gathered_bits, longs, merged_bits, saved, slices
 from .hashing import BASES, U, Words, distinct, mix, runs, sliding_min
 
 LINES = 2
-MOST_BITS = 28
+#: Cells of a line, as a power of two, up to which the sketch is broadcast: 32 MB of bits a line.
+BROADCAST_BITS = 28
 #: Bytes of text that are hashed at once, and anchors that a task holds before it counts them.
 SLICE = 1 << 18
 KEYS = 1 << 20
+#: Bytes of text behind one partial sketch, about.
+PARTIAL = 16 << 20
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -53,14 +57,17 @@ def _cells(key: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(key if i == 0 else mix(key + U(i))) >> U(64 - bits) for i in range(LINES)]
 
 
-def sketch_bits(docs: DataFrame, text_col: str = "text") -> int:
-    """Cells as a power of two, about ten for an anchor: from the bytes of all texts."""
-    total = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"] or 0
-    return min(MOST_BITS, max(16, int(total / 10).bit_length()))
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"] or 0
 
 
-def build_sketch(docs: DataFrame, bits: int, window: int = 50, anchor: int = 26, text_col: str = "text") -> np.ndarray:
-    """The merged sketch as bitmaps of the cells that count two documents or more."""
+def sketch_bits(total: int) -> int:
+    """Cells of a line as a power of two, about ten for an anchor: from the bytes of all texts."""
+    return max(BLOCK_BITS, int(total / 10).bit_length())
+
+
+def build_sketch(docs: DataFrame, bits: int, total: int, window: int = 50, anchor: int = 26, text_col: str = "text") -> DataFrame:
+    """The merged sketch, (line, block, bits): the cells that count two documents or more. ``total``: bytes of all texts."""
 
     schema = pa.schema([("line", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
 
@@ -85,30 +92,82 @@ def build_sketch(docs: DataFrame, bits: int, window: int = 50, anchor: int = 26,
         if held:
             yield from counted(keys)
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(partial, BLOCKS)
-    return gathered_bits(merged_bits(parts, 2), LINES, bits)
+    texts = docs.select(F.col(text_col).alias("text"))
+    return merged_bits(texts.mapInArrow(partial, BLOCKS), 2, isqrt(total // PARTIAL + 16) + 1)
+
+
+def _by_bitmap(sketch, bits: int, window: int, anchor: int):
+    """Estimates with the broadcast sketch the first words of the windows that are repeated."""
+
+    def estimated(batch, start, words):
+        key, at = _anchors(words, window, anchor)
+        hit = np.ones(len(key), bool)
+        for line, cells in enumerate(_cells(key, bits)):
+            hit &= bit_at(sketch.value[line], cells) == 1
+        return at[hit]
+
+    return estimated
+
+
+def _by_keys(window: int, anchor: int):
+    """The same from the column ``keys``: the anchors of the row that the sketch estimates to be repeated."""
 
+    def estimated(batch, start, words):
+        key, at = _anchors(words, window, anchor)
+        hit = np.zeros(len(key), bool)
+        edge = np.searchsorted(words.text[at], np.arange(len(words.counts) + 1))
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+            wanted = batch.column(2)[start + i].values
+            if wanted is not None and a < b:
+                hit[a:b] = np.isin(key[a:b], wanted.to_numpy().view(np.uint64))
+        return at[hit]
 
-def _estimated(words: Words, bitmap: np.ndarray, bits: int, window: int, anchor: int) -> np.ndarray:
-    """The first words of the windows that the sketch estimates to be repeated."""
-    key, at = _anchors(words, window, anchor)
-    hit = np.ones(len(key), bool)
-    for line, cells in enumerate(_cells(key, bits)):
-        hit &= bit_at(bitmap[line], cells) == 1
-    return at[hit]
+    return estimated
 
 
-def _scan(docs: DataFrame, sketch, bits: int, window: int, anchor: int, want: str) -> DataFrame:
+def _with_keys(docs: DataFrame, sketch: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
+    """(doc_id, text, keys): the rows with their anchors that the sketch estimates to be repeated, looked up block by block."""
+
+    def ask(batches):
+        for batch in batches:
+            for start, texts in slices(batch, "text", SLICE):
+                words = Words(texts)
+                key, at = _anchors(words, window, anchor)
+                key, n = distinct(words.text[at], key, len(texts))
+                text = np.repeat(np.arange(len(texts)), n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(start + text)), longs(words.whole(BASES[2])[text]), longs(key), *map(longs, _cells(key, bits))],
+                    ["doc_id", "whole", "key", *(f"cell{i}" for i in range(LINES))],
+                )
+
+    def whole(batches):
+        for batch in batches:
+            for start, texts in slices(batch, "text", SLICE):
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, longs(Words(texts).whole(BASES[2]))], ["doc_id", "text", "whole"])
+
+    found = docs.where("doc_id is not null").mapInArrow(ask, "doc_id long, whole long, key long, " + ", ".join(f"cell{i} long" for i in range(LINES)))
+    for i in range(LINES):
+        low = F.col(f"cell{i}").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+        byte = F.conv(F.hex(F.substring("bits", (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        one = F.expr(f"shiftright(128, cast(cell{i} & 7 as int))")
+        block = sketch.where(F.col("line") == i).select(F.col("block").alias("at"), "bits")
+        found = found.join(block.hint("merge"), F.shiftright(f"cell{i}", BLOCK_BITS) == F.col("at")).where(byte.bitwiseAND(one) != 0).drop("at", "bits", f"cell{i}")
+    found = found.groupBy("doc_id", "whole").agg(F.collect_set("key").alias("keys"))
+    rows = docs.mapInArrow(whole, "doc_id long, text string, whole long")
+    return saved(rows.join(found, ["doc_id", "whole"], "left").select("doc_id", "text", "keys"))
+
+
+def _scan(docs: DataFrame, estimated, window: int, want: str) -> DataFrame:
     """want: "windows", those that may be repeated, (h1, h2, doc_id, whole, at); "maybe", the rows that have such windows,
     (doc_id, text, whole); "alone", the results of the others, (doc_id, n_words, n_removed, kept)."""
 
     def run(batches):
-        bitmap = sketch.value
         for batch in batches:
             ids = batch.column(0)
             for start, texts in slices(batch, "text", SLICE):
                 words = Words(texts)
-                at = _estimated(words, bitmap, bits, window, anchor)
+                at = estimated(batch, start, words)
                 text = words.text[at]
                 if want == "alone":
                     rest = np.setdiff1d(np.arange(len(texts)), text)
@@ -128,15 +187,20 @@ def _scan(docs: DataFrame, sketch, bits: int, window: int, anchor: int, want: st
     return docs.mapInArrow(run, schemas[want])
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each row of ``docs`` with the words that stay, joined by one space.
 
     ``whole`` hashes a row's word sequence, so rows that share a doc_id stay apart. Texts without a window that may be repeated are not shuffled."""
     spark = docs.sparkSession
-    bits = sketch_bits(docs, text_col)
-    sketch = spark.sparkContext.broadcast(build_sketch(docs, bits, window, anchor, text_col))
+    total = text_bytes(docs, text_col)
+    bits = sketch_bits(total)
+    sketch = build_sketch(docs, bits, total, window, anchor, text_col)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = _scan(plain.where("doc_id is not null"), sketch, bits, window, anchor, "windows")
+    if bits <= broadcast_bits:
+        estimated = _by_bitmap(spark.sparkContext.broadcast(gathered_bits(sketch, LINES, bits)), bits, window, anchor)
+    else:
+        plain, estimated = _with_keys(plain, saved(sketch), bits, window, anchor), _by_keys(window, anchor)
+    found = _scan(plain.where("doc_id is not null"), estimated, window, "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "whole", "at")
     cut = later.groupBy("doc_id", "whole").agg(F.collect_list("at").alias("cut"))
@@ -161,10 +225,6 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col:
                 text_out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text_out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    maybe = _scan(plain, sketch, bits, window, anchor, "maybe")
+    maybe = _scan(plain, estimated, window, "maybe")
     joined = maybe.join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut").mapInArrow(kept, OUT)
-    return joined.union(_scan(plain, sketch, bits, window, anchor, "alone"))
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return joined.union(_scan(plain, estimated, window, "alone"))
