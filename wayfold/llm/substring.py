@@ -201,7 +201,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col:
     else:
         plain, estimated = _with_keys(plain, saved(sketch), bits, window, anchor), _by_keys(window, anchor)
     found = _scan(plain.where("doc_id is not null"), estimated, window, "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     later = found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "whole", "at")
     cut = later.groupBy("doc_id", "whole").agg(F.collect_list("at").alias("cut"))
 
