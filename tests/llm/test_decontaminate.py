@@ -73,3 +73,28 @@ def test_places_and_blocks(spark):
     assert few == sorted(set(dict(rows)) - {x[0] for x in one})
     extra = docs.withColumn("item_id", docs["doc_id"]).withColumnRenamed("lang", "distance")
     assert decontaminated(extra, bench).columns == extra.columns
+
+
+def test_one_scan_of_the_documents(spark):
+    """A benchmark over the bound is joined: the documents are read once; repeated rows and items, null ids and clashing names as in a small one."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(15))) for i in range(40)]
+    items += [(90, items[0][1]), (None, items[1][1].upper()), (91, "zq"), (92, " "), (93, None)]
+    rows = [(d, f"{word()} {items[d % 40][1]}\n\n{word()} {items[d % 7][1]} \U0001d400") for d in range(30)] + [(d, word()) for d in range(30, 40)]
+    rows += [rows[0], (None, rows[1][1]), (77, rows[0][1]), (50, "a zq z"), (51, None), (52, "")]
+    docs = documents(spark, rows).withColumnRenamed("lang", "key").withColumnRenamed("source", "hash")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    many = sorted(map(tuple, leaks(docs.mapInArrow(counted, docs.schema), bench, block_chars=200).collect()), key=str)
+    assert read.value == len(rows)
+    assert many == sorted(map(tuple, leaks(docs, bench).collect()), key=str) and len(many) > 60
+    kept = decontaminated(docs, bench, block_chars=200)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, decontaminated(docs, bench).collect()))
