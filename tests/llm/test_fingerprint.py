@@ -1,12 +1,13 @@
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter
 from math import log2
 
 import numpy as np
 from brute import documents
 
-from wayfold.llm.fingerprint import LEVELS, WINDOW, edited, entropy_classes, features, filters, fingerprints, likeness
+from wayfold.llm.fingerprint import LEVELS, WINDOW, _below, _blocks, edited, entropy_classes, features, filters, fingerprints, likeness
 
 
 def texts(n=40):
@@ -121,3 +122,21 @@ def test_null_ids_and_other_columns(spark):
     docs = documents(spark, rows).withColumnsRenamed({"lang": "block", "source": "tie"})
     got = fingerprints(docs, block=8).collect()
     assert len(got) == len(rows) and len({r["edited_sha256"] for r in got}) >= 50
+
+
+def test_blocks(spark):
+    """Blocks of a thousand rows, growing with the root of the rows from ten million on; the lookup halves one folded literal."""
+    assert [_blocks(n, 1000) for n in (0, 999, 5000, 10**7, 10**9, 10**11)] == [1, 1, 5, 10**4, 10**5, 10**6]
+    rnd = random.Random(4)
+    for size in (0, 1, 2, 7, 64, 1000):
+        cuts = sorted(rnd.sample(range(-5000, 5000), size))
+        ids = spark.createDataFrame([(i,) for i in [-(2**62), 2**62, *cuts[:50], *(rnd.randint(-6000, 6000) for _ in range(100))]], "id long")
+        got = ids.withColumn("n", _below(cuts, ids["id"]))
+        assert all(r["n"] == bisect_left(cuts, r["id"]) for r in got.collect())
+        assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_any_number_of_blocks(spark):
+    docs = documents(spark, list(enumerate(texts(60))))
+    one, many = ({r["doc_id"]: tuple(r) for r in fingerprints(docs, block=n).collect()} for n in (1000, 1))
+    assert one == many and len(one) == 60

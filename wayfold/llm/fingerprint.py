@@ -12,17 +12,18 @@ the filters of the one with fewer features, weighted by features, of each one's
 A fingerprint is the filters in order, each ``features:base64``, joined by ``|``; that of an empty text is empty. Empty texts are alike (1) and unlike any other (0).
 
 Cases: a null text is empty; rows are ordered by descending doc_id, then by a hash of the text (so repeated rows
-are neighbours), null ids last (dealt by ranges of that hash); beyond ten million rows blocks grow instead of becoming more, and as they are streamed, only tasks get longer; other columns are not looked at; one row is its own next; an empty table gives an empty result.
+are neighbours), null ids last (dealt by ranges of that hash); other columns are not looked at; one row is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -165,10 +166,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _blocks(rows: int, block: int) -> int:
+    return max(1, min(rows // block, isqrt(10 * rows)))
+
+
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are less than ``value``, by halving; the cuts are one literal."""
+    if not cuts:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(known, low + step - 1) < value, low + step).otherwise(low))
+
+
 def fingerprints(docs: DataFrame, block: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: its own fingerprint, its edited text's, and its likeness to that and to the next document's.
 
-    Rows are dealt by ranges of doc_id into blocks of about ``block`` rows, sorted inside a task and read in a stream. The first
+    Rows are dealt by ranges of doc_id into blocks of about ``block`` rows, or of the root of a tenth of all rows if that is more (from ten million
+    rows on; blocks and their number then grow alike), sorted inside a task and read in a stream. The first
     row of each block also goes to the block before it, so texts are shuffled once."""
     spark = docs.sparkSession
     counts = class_counts(docs, text_col)
@@ -179,15 +194,13 @@ def fingerprints(docs: DataFrame, block: int = 1_000, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("doc_id").where("doc_id is not null")
     total = ids.count()
-    n = int(min(10_000, max(1, total // block)))
+    n = _blocks(total, block)
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
     cuts = [int(c) for c in cuts]
-    # block 0 has the greatest ids; nulls come last
-    edges = F.array(*[F.lit(c) for c in reversed(cuts)]).cast("array<long>") if cuts else F.array().cast("array<long>")
     rows = rows.withColumn("tie", F.xxhash64("text"))
     nulls = rows.where("doc_id is null").count()
-    by_tie = F.floor((F.col("tie") / 2.0**64 + 0.5) * F.lit(int(min(10_000, max(1, nulls // block)))))
-    block_of = F.when(F.col("doc_id").isNull(), by_tie + len(cuts) + 1).otherwise(F.size(F.filter(edges, lambda c: c >= F.col("doc_id")))).cast("int")
+    by_tie = F.floor((F.col("tie") / 2.0**64 + 0.5) * F.lit(_blocks(nulls, block)))
+    block_of = F.when(F.col("doc_id").isNull(), by_tie + len(cuts) + 1).otherwise(len(cuts) - _below(cuts, F.col("doc_id")))  # block 0 has the greatest ids; nulls come last
     rows = rows.select("doc_id", "text", block_of.cast("int").alias("block"), "tie")
     heads = rows.groupBy("block").agg(F.min(F.struct(-F.col("doc_id"), F.col("tie"))).alias("h")).collect()
     order = sorted(heads, key=lambda r: r["block"])
