@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfold import schemas
 from wayfold.functions.geo import haversine_m
-from wayfold.functions.text import jaro_winkler_of, normalize_name
+from wayfold.functions.text import jaro_winkler_from, jaro_winkler_of, normalize_name
+from wayfold.operators import components
 from wayfold.operators import metrics as m
 from wayfold.operators import prefix_index as ix
 from wayfold.operators import resolve as rs
@@ -110,10 +112,59 @@ def test_blocking_as_all_pairs(spark):
     assert rs.near_pairs(p).count() == len(got)
 
 
+def crowd(spark, n=160):
+    """Places with few names, some of them null or without aliases, at few positions, in several copies."""
+    rnd = random.Random(3)
+    names = ["old mill 1", "old mill 2", "Old Mill!", "red barn", "red bern", "中文", "x", None]
+    return rs.with_keys(spark.createDataFrame([poi(i, rnd.choice(names), rnd.choice([0, 20, 45, 80, 4000]) * METRE, rnd.choice([0, 30, -5]) * METRE, aliases=rnd.choice([(), ("mill",), ("x", "red barn")])) for i in range(n)], schemas.POI))
+
+
+def matches_by_definition(p):
+    rows = p.select("rid", "lat", "lon", "norm", "norms").collect()
+    alike = lambda x, y: bool({*x["norms"]} & {*y["norms"]} - {None}) or (None not in x["norms"] + y["norms"] and jaro_winkler_of(x["norm"], y["norm"]) >= 0.9)
+    near = {(r["a"], r["b"]) for r in rs.near_pairs(p).collect()}
+    return {(x["rid"], y["rid"]) for x in rows for y in rows if x["rid"] < y["rid"] and ((x["rid"], y["rid"]) in near or (y["rid"], x["rid"]) in near) and alike(x, y)}
+
+
+def test_matches_by_definition(spark):
+    p = crowd(spark)
+    got = [tuple(sorted((r["a"], r["b"]))) for r in rs.matching_pairs(p).collect()]
+    assert len(got) == len(set(got)) > 1000 and set(got) == matches_by_definition(p)
+
+
+def test_links_connect_as_matches_but_are_few(spark):
+    p = crowd(spark)
+    pairs, few = rs.matching_pairs(p), rs.links(p)
+    comps = lambda e: {(r["rid"], r["cluster"]) for r in rs.clusters(p, e).select("rid", "cluster").collect()}
+    assert comps(pairs) == comps(few) and len({c for _, c in comps(few)}) > 5
+    assert few.count() < pairs.count()
+
+
+def test_similar_names(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abé") for _ in range(rnd.randint(0, 9))) for _ in range(60)]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words] + [(None, "a"), ("a", None)], "a string, b string")
+    got = {(r["a"], r["b"]) for r in rows.where(jaro_winkler_from(0.9)("a", "b")).collect()}
+    assert got == {(a, b) for a in words for b in words if jaro_winkler_of(a, b) >= 0.9} and len(got) > len({*words})
+
+
+def test_no_join_of_places_is_broadcast(spark, monkeypatch):
+    """Files of repeated values are small, but their rows must not go through the driver."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (rs, components):
+        monkeypatch.setattr(module, "saved", lambda df, f=module.saved: plan(df) or f(df))
+    p = crowd(spark, 60)
+    for df in (rs.near_pairs(p), rs.matching_pairs(p), rs.clusters(p, rs.links(p)), connected(rs.links(p), few=0)):
+        plan(df)
+    assert len(plans) > 15 and not [x for x in plans if "Broadcast" in x]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (5, 5)]
     got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 200: 100, 300: 100}
+    assert got == {r["node"]: r["comp"] for r in connected(spark.createDataFrame(edges, "a long, b long").repartition(5), few=0).collect()}
 
 
 def blended(spark, combo=(), place=(), seed=5.0):

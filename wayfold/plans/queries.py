@@ -73,7 +73,7 @@ def name_match_pairs(spark, d):  # D1-D3 D11 I9
 
 def clusters(spark, d):  # E1
     p = saved(_keyed(spark, d))
-    return rs.clusters(p, rs.matching_pairs(p)).select("rid", "cluster")
+    return rs.clusters(p, rs.links(p)).select("rid", "cluster")
 
 
 def _merged(spark, d):
