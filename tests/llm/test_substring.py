@@ -54,3 +54,23 @@ def test_the_sketch_grows_with_the_text():
     """Five cells or more for each anchor (one in about 78 bytes), at ten times the broadcast bound and far beyond too."""
     for total in (10**9, 27 * 10**9, 10**14):
         assert 2 ** substring.sketch_bits(total) >= 5 * total / 78
+
+
+def test_texts_are_hashed_twice_and_windows_sorted_once(spark):
+    """One scan for the sketch, one for the windows; then a pass over sorted windows and one over the words that stay."""
+    out = substring_dedup(documents(spark, [(i, "a b c " * 30) for i in range(9)]), 50)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+
+
+def test_later_windows_across_batches(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.randrange(5), rnd.randrange(2), rnd.randrange(-3, 30), i, i % 7) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = substring._later(spark.createDataFrame(rows, "h1 long, h2 int, doc_id long, whole long, at int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    least = {}
+    for h1, h2, doc, _, _ in rows:
+        least[h1, h2] = min(doc, least.get((h1, h2), doc))
+    assert sorted(map(tuple, got)) == sorted((doc, whole, at) for h1, h2, doc, whole, at in rows if doc > least[h1, h2])

@@ -76,33 +76,31 @@ def blocks_of(cells: np.ndarray, counts: np.ndarray, row: int) -> Iterator[dict]
 BLOCKS = "line int, block long, low binary, n binary"
 
 
-def merged_bits(partial: DataFrame, least: int, parts: int) -> DataFrame:
+def merged_bits(partial: DataFrame, least: int) -> DataFrame:
     """(line, block, bits): the cells whose counts over all partial blocks reach ``least``.
 
-    The partial blocks are added up in two steps, in ``parts`` groups a block first; the root of the number of partial sketches
-    keeps the groups of both steps as small as its root."""
-
-    def add(pdf, total=None):
-        count = np.zeros(1 << BLOCK_BITS, np.int64)
-        for low, n in zip(pdf["low"], pdf["n"]):
-            np.add.at(count, np.frombuffer(low, "<u2"), np.frombuffer(n, np.uint8))
-        return count
-
-    def some(key, pdf):
-        import pandas as pd
-
-        count = np.minimum(add(pdf), 255)
-        at = np.flatnonzero(count)
-        return pd.DataFrame({"line": [key[0]], "block": [key[1]], "low": [at.astype("<u2").tobytes()], "n": [count[at].astype(np.uint8).tobytes()]})
-
-    def last(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"line": [key[0]], "block": [key[1]], "bits": [np.packbits(add(pdf) >= least).tobytes()]})
-
-    part = partial.withColumn("part", F.pmod(F.xxhash64("low"), F.lit(parts)))
-    part = part.groupBy("line", "block", "part").applyInPandas(some, BLOCKS)
-    return part.groupBy("line", "block").applyInPandas(last, "line int, block long, bits binary")
+    Each task adds up one block after the other, row by row, so no number of partial sketches fills its memory."""
+
+    def run(batches):
+        count, at = np.zeros(1 << BLOCK_BITS, np.int64), None
+        done = lambda: {"line": at[0], "block": at[1], "bits": np.packbits(count >= least).tobytes()}
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != row[:2]:
+                    if at is not None:
+                        out.append(done())
+                        count[:] = 0
+                    at = row[:2]
+                count[np.frombuffer(row[2], "<u2")] += np.frombuffer(row[3], np.uint8)  # the cells of a row are distinct
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([done()], schema=schema)
+
+    schema = pa.schema([("line", pa.int32()), ("block", pa.int64()), ("bits", pa.binary())])
+    dealt = partial.select("line", "block", "low", "n").repartition("line", "block").sortWithinPartitions("line", "block")
+    return dealt.mapInArrow(run, "line int, block long, bits binary")
 
 
 def gathered_bits(merged: DataFrame, lines: int, bits: int) -> np.ndarray:

@@ -16,8 +16,6 @@ not looked at; an empty table gives an empty result. An item shorter than ``1 /
 
 from __future__ import annotations
 
-from math import isqrt
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -204,7 +202,7 @@ def _filter(pieces: DataFrame, n: int, bits: int) -> np.ndarray:
         if size:
             yield from counted()
 
-    merged = merged_bits(pieces.select("hash").mapInArrow(partial, BLOCKS), 1, isqrt(n // PIECES + 16) + 1)
+    merged = merged_bits(pieces.select("hash").mapInArrow(partial, BLOCKS), 1)
     return gathered_bits(merged, LINES, bits)
 
 

@@ -20,8 +20,6 @@ not looked at, so clashing names are harmless; an empty table gives an empty res
 
 from __future__ import annotations
 
-from math import isqrt
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +34,6 @@ BROADCAST_BITS = 28
 #: Bytes of text that are hashed at once, and anchors that a task holds before it counts them.
 SLICE = 1 << 18
 KEYS = 1 << 20
-#: Bytes of text behind one partial sketch, about.
-PARTIAL = 16 << 20
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -66,8 +62,8 @@ def sketch_bits(total: int) -> int:
     return max(BLOCK_BITS, int(total / 10).bit_length())
 
 
-def build_sketch(docs: DataFrame, bits: int, total: int, window: int = 50, anchor: int = 26, text_col: str = "text") -> DataFrame:
-    """The merged sketch, (line, block, bits): the cells that count two documents or more. ``total``: bytes of all texts."""
+def build_sketch(docs: DataFrame, bits: int, window: int = 50, anchor: int = 26, text_col: str = "text") -> DataFrame:
+    """The merged sketch, (line, block, bits): the cells that count two documents or more."""
 
     schema = pa.schema([("line", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
 
@@ -93,7 +89,7 @@ def build_sketch(docs: DataFrame, bits: int, total: int, window: int = 50, ancho
             yield from counted(keys)
 
     texts = docs.select(F.col(text_col).alias("text"))
-    return merged_bits(texts.mapInArrow(partial, BLOCKS), 2, isqrt(total // PARTIAL + 16) + 1)
+    return merged_bits(texts.mapInArrow(partial, BLOCKS), 2)
 
 
 def _by_bitmap(sketch, bits: int, window: int, anchor: int):
@@ -117,7 +113,7 @@ def _by_keys(window: int, anchor: int):
         hit = np.zeros(len(key), bool)
         edge = np.searchsorted(words.text[at], np.arange(len(words.counts) + 1))
         for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-            wanted = batch.column(2)[start + i].values
+            wanted = batch.column(3)[start + i].values
             if wanted is not None and a < b:
                 hit[a:b] = np.isin(key[a:b], wanted.to_numpy().view(np.uint64))
         return at[hit]
@@ -126,7 +122,7 @@ def _by_keys(window: int, anchor: int):
 
 
 def _with_keys(docs: DataFrame, sketch: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
-    """(doc_id, text, keys): the rows with their anchors that the sketch estimates to be repeated, looked up block by block."""
+    """(doc_id, text, whole, keys): the rows with their anchors that the sketch estimates to be repeated, looked up block by block."""
 
     def ask(batches):
         for batch in batches:
@@ -136,16 +132,10 @@ def _with_keys(docs: DataFrame, sketch: DataFrame, bits: int, window: int, ancho
                 key, n = distinct(words.text[at], key, len(texts))
                 text = np.repeat(np.arange(len(texts)), n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(start + text)), longs(words.whole(BASES[2])[text]), longs(key), *map(longs, _cells(key, bits))],
+                    [batch.column(0).take(pa.array(start + text)), batch.column(2).take(pa.array(start + text)), longs(key), *map(longs, _cells(key, bits))],
                     ["doc_id", "whole", "key", *(f"cell{i}" for i in range(LINES))],
                 )
 
-    def whole(batches):
-        for batch in batches:
-            for start, texts in slices(batch, "text", SLICE):
-                part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, longs(Words(texts).whole(BASES[2]))], ["doc_id", "text", "whole"])
-
     found = docs.where("doc_id is not null").mapInArrow(ask, "doc_id long, whole long, key long, " + ", ".join(f"cell{i} long" for i in range(LINES)))
     for i in range(LINES):
         low = F.col(f"cell{i}").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
@@ -154,55 +144,69 @@ def _with_keys(docs: DataFrame, sketch: DataFrame, bits: int, window: int, ancho
         block = sketch.where(F.col("line") == i).select(F.col("block").alias("at"), "bits")
         found = found.join(block.hint("merge"), F.shiftright(f"cell{i}", BLOCK_BITS) == F.col("at")).where(byte.bitwiseAND(one) != 0).drop("at", "bits", f"cell{i}")
     found = found.groupBy("doc_id", "whole").agg(F.collect_set("key").alias("keys"))
-    rows = docs.mapInArrow(whole, "doc_id long, text string, whole long")
-    return saved(rows.join(found, ["doc_id", "whole"], "left").select("doc_id", "text", "keys"))
+    return saved(docs.join(found, ["doc_id", "whole"], "left").select("doc_id", "text", "whole", "keys"))
 
 
 def _scan(docs: DataFrame, estimated, window: int, want: str) -> DataFrame:
-    """want: "windows", those that may be repeated, (h1, h2, doc_id, whole, at); "maybe", the rows that have such windows,
-    (doc_id, text, whole); "alone", the results of the others, (doc_id, n_words, n_removed, kept)."""
+    """want: "windows", those that may be repeated, (h1, h2, doc_id, whole, at)."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            ids, whole = batch.column(0), batch.column(2)
             for start, texts in slices(batch, "text", SLICE):
                 words = Words(texts)
                 at = estimated(batch, start, words)
-                text = words.text[at]
-                if want == "alone":
-                    rest = np.setdiff1d(np.arange(len(texts)), text)
-                    kept = pa.array([b" ".join(texts[i].split()).decode() for i in rest], pa.string())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + rest)), pa.array(words.counts[rest], pa.int64()), pa.array(np.zeros(len(rest), np.int64)), kept], ["doc_id", "n_words", "n_removed", "kept"])
-                elif len(at) and want == "maybe":
-                    some = np.unique(text)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + some)), pa.array([texts[i].decode() for i in some], pa.string()), longs(words.whole(BASES[2])[some])], ["doc_id", "text", "whole"])
-                elif len(at):
+                if len(at):
+                    row = pa.array(start + words.text[at])
                     h1, h2 = (runs(words.hash, at, at + window, b) for b in BASES[:2])
                     yield pa.RecordBatch.from_arrays(
-                        [longs(h1), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(start + text)), longs(words.whole(BASES[2])[text]), pa.array((at - words.first[text]).astype(np.int32))],
+                        [longs(h1), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), ids.take(row), whole.take(row), pa.array((at - words.first[words.text[at]]).astype(np.int32))],
                         ["h1", "h2", "doc_id", "whole", "at"],
                     )
 
-    schemas = {"windows": "h1 long, h2 int, doc_id long, whole long, at int", "maybe": "doc_id long, text string, whole long", "alone": OUT}
+    schemas = {"windows": "h1 long, h2 int, doc_id long, whole long, at int"}
     return docs.mapInArrow(run, schemas[want])
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """(doc_id, whole, at): the windows (h1, h2, doc_id, whole, at) that are also in a document with a smaller doc_id.
+
+    Sorted by window and document, the first row of a window has its smallest doc_id; one row is carried to the next batch, so no window fills a task's memory."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            h1, h2, doc = (batch.column(i).to_numpy() for i in range(3))
+            new = np.ones(n, bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            new[0] = last is None or last[:2] != (h1[0], h2[0])
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            first = np.where(at >= 0, doc[at], last[2] if last else 0)
+            last = h1[-1], h2[-1], first[-1]
+            yield batch.select(["doc_id", "whole", "at"]).filter(pa.array(doc > first))
+
+    return found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(run, "doc_id long, whole long, at int")
+
+
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each row of ``docs`` with the words that stay, joined by one space.
 
-    ``whole`` hashes a row's word sequence, so rows that share a doc_id stay apart. Texts without a window that may be repeated are not shuffled."""
+    ``whole`` hashes a row's text, so rows that share a doc_id stay apart. Two scans hash words: one for the sketch, one for the windows that may be repeated."""
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     bits = sketch_bits(total)
-    sketch = build_sketch(docs, bits, total, window, anchor, text_col)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketch = build_sketch(docs, bits, window, anchor, text_col)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("whole"))
+    rows = plain
     if bits <= broadcast_bits:
         estimated = _by_bitmap(spark.sparkContext.broadcast(gathered_bits(sketch, LINES, bits)), bits, window, anchor)
     else:
         plain, estimated = _with_keys(plain, saved(sketch), bits, window, anchor), _by_keys(window, anchor)
     found = _scan(plain.where("doc_id is not null"), estimated, window, "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    later = found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "whole", "at")
+    later = _later(found)
     cut = later.groupBy("doc_id", "whole").agg(F.collect_list("at").alias("cut"))
 
     def kept(batches):
@@ -225,6 +229,4 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 26, id_col:
                 text_out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text_out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    maybe = _scan(plain, estimated, window, "maybe")
-    joined = maybe.join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut").mapInArrow(kept, OUT)
-    return joined.union(_scan(plain, estimated, window, "alone"))
+    return rows.join(cut, ["doc_id", "whole"], "left").select("doc_id", "text", "cut").mapInArrow(kept, OUT)
