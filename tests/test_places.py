@@ -13,7 +13,7 @@ from wayfold.operators import metrics as m
 from wayfold.operators import prefix_index as ix
 from wayfold.operators import resolve as rs
 from wayfold.operators.components import connected
-from wayfold.plans import serve, snapshot, store
+from wayfold.plans import queries, serve, snapshot, store
 from wayfold.sources import osm
 from wayfold.sources.overture import places as overture_places
 from wayfold.sources.protocol import fetch_all, ordered
@@ -191,6 +191,16 @@ def test_searched_places_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan_of(got) and sorted((r["request_id"], r["id"]) for r in got.collect()) == [(1, "1"), (1, "2"), (2, "2")]
 
 
+@pytest.mark.parametrize("name", ["prefix_explode"])
+def test_no_join_of_a_prefix_query_is_broadcast(spark, monkeypatch, name):
+    plans = []
+    for module in (rs, components, queries):
+        monkeypatch.setattr(module, "saved", lambda df, f=module.saved: plans.append(plan_of(df)) or f(df))
+    monkeypatch.setattr(snapshot, "publish", lambda df, *args, f=snapshot.publish: plans.append(plan_of(df)) or f(df, *args))
+    plans.append(plan_of(queries.queries()[name](spark, "/root/testdata/sf0.001")))
+    assert len(plans) > 5 and not [x for x in plans if "Broadcast" in x]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (5, 5)]
     got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
