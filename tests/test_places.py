@@ -191,7 +191,7 @@ def test_searched_places_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan_of(got) and sorted((r["request_id"], r["id"]) for r in got.collect()) == [(1, "1"), (1, "2"), (2, "2")]
 
 
-@pytest.mark.parametrize("name", ["prefix_explode", "prefix_topk_seed"])
+@pytest.mark.parametrize("name", ["prefix_explode", "prefix_topk_seed", "snapshot_roundtrip"])
 def test_no_join_of_a_prefix_query_is_broadcast(spark, monkeypatch, name):
     plans = []
     for module in (rs, components, queries):
