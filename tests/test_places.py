@@ -201,6 +201,18 @@ def test_no_join_of_a_prefix_query_is_broadcast(spark, monkeypatch, name):
     assert len(plans) > 5 and not [x for x in plans if "Broadcast" in x]
 
 
+@pytest.mark.parametrize("name", ["prefix_explode"])
+def test_no_join_of_a_prefix_query_turns_into_a_broadcast(spark, name):
+    """Of the plans as they ran: adaptive execution may broadcast what the first plan deals."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    queries.queries()[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    plans = [x.physicalPlanDescription() for x in ran if x.executionId() not in began]
+    assert len(plans) > 5 and any("SortMergeJoin" in x for x in plans) and not [x for x in plans if "Broadcast" in x]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (5, 5)]
     got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
